@@ -1,0 +1,30 @@
+"""The queries of the problems tagged llm, by name; each takes a session and a data folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cantera.llm import distinctive, frequency
+from cantera.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.term_frequency(table(spark, sf_dir, "canciones"), "id", "texto").filter("mark <> 'useful'").select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.term_frequency(table(spark, sf_dir, "canciones"), "id", "texto")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distinctive.characteristic_terms(table(spark, sf_dir, "canciones"), "id", "texto", top=3)
+    return found.select(F.col("key").cast("int").alias("id"), "term")
+
+
+def p6_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distinctive.enriched_terms(table(spark, sf_dir, "canciones"), "id", "texto", top=3)
+    return found.select(F.col("key").cast("int").alias("id"), "term", "tf", "df", F.round("score", 4).alias("score"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p6_found, p6_enriched)}
