@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import distinctive, frequency
+from cantera.llm import distinctive, frequency, reading, tokens
 from cantera.session import table
 
 
@@ -27,4 +27,17 @@ def p6_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").cast("int").alias("id"), "term", "tf", "df", F.round("score", 4).alias("score"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p6_found, p6_enriched)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").filter("basis = 'graded'").select("doc_id", "nivel")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("score", F.round("score", 2))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
+ORACLE_SQL: dict[str, str] = {}
