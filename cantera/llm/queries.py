@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import distinctive, frequency, reading, tokens
+from cantera.llm import distinctive, frequency, near_duplicates, reading, tokens
 from cantera.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "canciones"), "id", "song", "texto", threshold=0.5)
+    return found.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "canciones"), "id", "song", "texto", threshold=0.5)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.term_frequency(table(spark, sf_dir, "canciones"), "id", "texto").filter("mark <> 'useful'").select("term", "mark")
 
@@ -39,5 +48,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("score", F.round("score", 2))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_terms, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
 ORACLE_SQL: dict[str, str] = {}
