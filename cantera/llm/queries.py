@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import distinctive, frequency, near_duplicates, reading, tokens
+from cantera.llm import distinctive, frequency, near_duplicates, reading, similar_vectors, tokens
 from cantera.session import table
 
 
+#: Extractor, table, column and length of the two vector tables.
+VECTORS = (("mfcc", "audio_mfcc", "mfccs", 25), ("sift", "imagen_sift", "sift", 128))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one(extractor: str, name: str, column: str, dim: int) -> DataFrame:
+        found = similar_vectors.neighbours_above(table(spark, sf_dir, name), "vec_id", column, dim, k=10, least=0.996)
+        return similar_vectors.mutual_pairs(found).select(F.lit(extractor).alias("extractor"), "vec_a", "vec_b")
+
+    return one(*VECTORS[0]).unionByName(one(*VECTORS[1]))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "canciones"), "id", "song", "texto", threshold=0.5)
     return found.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
@@ -48,5 +60,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("score", F.round("score", 2))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_terms, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_terms, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
 ORACLE_SQL: dict[str, str] = {}
