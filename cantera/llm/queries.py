@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import distinctive, frequency, near_duplicates, reading, similar_vectors, tokens
+from cantera.llm import clusters, distinctive, frequency, near_duplicates, reading, similar_vectors, tokens
 from cantera.session import table
 
 
@@ -38,6 +38,23 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.term_frequency(table(spark, sf_dir, "canciones"), "id", "texto")
 
 
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one(extractor: str, name: str, column: str, dim: int) -> DataFrame:
+        found = clusters.similarity_clusters(table(spark, sf_dir, name), "vec_id", column, dim)
+        return found.select(F.lit(extractor).alias("extractor"), "vec_id", "cluster_id", "size", F.round("cosine", 6).alias("cosine"), "typical_rank")
+
+    return one(*VECTORS[0]).unionByName(one(*VECTORS[1]))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_clusters(spark, sf_dir).select("extractor", "vec_id", "cluster_id")
+
+
+def p4_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most typical members of each cluster."""
+    return p4_clusters(spark, sf_dir).filter("typical_rank is not null")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = distinctive.characteristic_terms(table(spark, sf_dir, "canciones"), "id", "texto", top=3)
     return found.select(F.col("key").cast("int").alias("id"), "term")
@@ -60,5 +77,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("score", F.round("score", 2))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_terms, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_terms, p4_found, p4_clusters, p4_typical, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
 ORACLE_SQL: dict[str, str] = {}
