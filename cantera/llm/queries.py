@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import clusters, distinctive, frequency, near_duplicates, reading, similar_vectors, tokens
+from cantera.llm import clusters, distinctive, frequency, mixture, near_duplicates, reading, similar_vectors, tokens
 from cantera.session import table
 
 
@@ -69,6 +69,21 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+#: Domain of each source of the mixture.
+DOMAINS = {
+    "letras": "musica", "notas_audio": "musica", "archivo_radio": "musica", "resenas_alojamiento": "viaje", "guia_ciudad": "viaje",
+    "boletin_local": "viaje", "catalogo_moda": "comercio", "fichas_juego": "comercio", "foro_motor": "tecnica", "manual_motor": "tecnica",
+}
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").filter("basis = 'graded'").select("doc_id", "nivel")
 
@@ -77,5 +92,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("score", F.round("score", 2))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_terms, p4_found, p4_clusters, p4_typical, p6_found, p6_enriched, p7_ids, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_terms, p4_found, p4_clusters, p4_typical, p6_found, p6_enriched, p7_ids, p8_mixture, p8_shares, p9_found, p9_levels)}
 ORACLE_SQL: dict[str, str] = {}
