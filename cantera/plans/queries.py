@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from cantera.plans import p5
+
+QUERIES: dict = {"p5_found": p5.p5_found}
 ORACLE_SQL: dict[str, str] = {}
