@@ -11,7 +11,7 @@ them, so reading each vector's own buckets retrieves every code within that radi
 substrings have about log2(n) bits, which keeps a bucket's expected size constant as n grows. Pairs that
 meet are thinned by the Hamming distance of 64 spread bits of the code, and cosines are worked out on the floats.
 
-A vector lies in its nearest cell and in every other whose centre is hardly farther (by the distance of two
+A vector lies in its nearest cell and in every other whose centre is hardly farther (by half the distance of two
 vectors that are just similar enough), so that near vectors on two sides of a border meet.
 
 Copies: of the vectors with equal elements only the k + 1 smallest ids take part, as no vector can
@@ -36,7 +36,7 @@ from cantera.session import fan_out, written
 #: Vectors that the model is learned on; the index holds all.
 SAMPLE = 16_384
 CELLS = 64
-SUBSTRINGS = 32
+SUBSTRINGS = 16
 #: Bits of 64 by which two codes may differ and still be compared on floats.
 SKETCH_RADIUS = 18
 #: Rows of a bucket that one task compares at once; beyond, the bucket is split into blocks that meet pairwise.
@@ -238,7 +238,7 @@ def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10
     every = written(base.withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1), fan_out(df, 2))
     heads = every.filter("place = 1")
     codes = learn(sample(heads, SAMPLE, dim), heads.count())
-    margin = math.sqrt(2 * max(0.0, 1 - least))
+    margin = math.sqrt(2 * max(0.0, 1 - least)) / 2
     near = _cosine_pairs(_candidates(heads, codes, dim, margin), heads, dim).filter(F.col("cosine") >= least)
     # From heads to the copies that take part.
     first = Window.partitionBy("vec")
