@@ -13,6 +13,7 @@ from cantera.lang.parser import parse
 from cantera.operators import codewords
 from cantera.operators.text import TextIndex
 from cantera.plans.binder import Binder, BindProblem, coerce
+from cantera.session import ship
 from cantera.sources import csv_ingest
 from cantera.sources.catalog import Catalog, Table, spark_type
 from cantera.sources.media import extract
@@ -26,6 +27,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, strict: bool = True, unique: bool = True):
         self.spark, self.strict, self.unique = spark, strict, unique
+        ship(spark)
         self.catalog = Catalog(spark, root)
         self.history: deque[dict[str, Any]] = deque(maxlen=HISTORY)  # newest first
         self.media: dict[tuple[str, str], dict[str, Any]] = {}

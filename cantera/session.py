@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +48,27 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of all executors, once for each application, by the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cantera_shipped", False):
+        return
+    home, data = Path(__file__).resolve().parent, io.BytesIO()
+    if home.is_dir():  # not from an archive already
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cantera-{uuid.uuid4().hex}.zip")
+        stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+        stream.write(bytearray(data.getvalue()))
+        stream.close()
+        sc.addPyFile(target.toString())
+    sc._cantera_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table of that name below a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
