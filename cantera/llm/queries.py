@@ -21,6 +21,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(*VECTORS[0]).unionByName(one(*VECTORS[1]))
 
 
+def p1_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar vectors of each vector whose id is divisible by 100."""
+
+    def one(extractor: str, name: str, column: str, dim: int) -> DataFrame:
+        found = similar_vectors.nearest_of(table(spark, sf_dir, name), "vec_id", column, dim, every_nth=100, k=10)
+        return found.select(F.lit(extractor).alias("extractor"), "vec", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+    return one(*VECTORS[0]).unionByName(one(*VECTORS[1]))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "canciones"), "id", "song", "texto", threshold=0.5)
     return found.select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
@@ -92,5 +102,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("score", F.round("score", 2))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_terms, p4_found, p4_clusters, p4_typical, p6_found, p6_enriched, p7_ids, p8_mixture, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_classes, p3_found, p3_terms, p4_found, p4_clusters, p4_typical, p6_found, p6_enriched, p7_ids, p8_mixture, p8_shares, p9_found, p9_levels)}
 ORACLE_SQL: dict[str, str] = {}

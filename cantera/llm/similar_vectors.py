@@ -228,21 +228,24 @@ def _cosine_pairs(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "vec_a", "vec_b").mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double")
 
 
+def _few_copies(base: DataFrame, k: int) -> DataFrame:
+    """The k + 1 smallest ids of each vector, with their place; equal vectors are told by two hashes of 64 bits."""
+    hashed = base.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(17), F.reverse("vec")))
+    return hashed.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+
+
 def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = 0.996) -> DataFrame:
     """vec, other, cosine, rank: for each usable vector those of its k most similar others that have a cosine of at least `least`.
 
     Ties go to the smaller id. Of more than k + 1 copies of a vector, those with the smallest ids have rows.
     Null keys and unusable vectors are left out, repeated rows count once, other columns are ignored; an empty table gives no rows."""
-    copies = Window.partitionBy("vec").orderBy("vec_id")
-    base = usable(df, key, vector, dim)
-    every = written(base.withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1), fan_out(df, 2))
+    every = written(_few_copies(usable(df, key, vector, dim), k), fan_out(df, 2))
     heads = every.filter("place = 1")
     codes = learn(sample(heads, SAMPLE, dim), heads.count())
     margin = math.sqrt(2 * max(0.0, 1 - least)) / 2
     near = _cosine_pairs(_candidates(heads, codes, dim, margin), heads, dim).filter(F.col("cosine") >= least)
     # From heads to the copies that take part.
-    first = Window.partitionBy("vec")
-    member = written(every.withColumn("head", F.min("vec_id").over(first)).select("vec_id", "head"))
+    member = written(every.withColumn("head", F.min("vec_id").over(Window.partitionBy("h1", "h2"))).select("vec_id", "head"))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     of_a, of_b = member.select(F.col("vec_id").alias("vec"), F.col("head").alias("a")), member.select(F.col("vec_id").alias("other"), F.col("head").alias("b"))
     across = both.join(of_a, "a").join(of_b, "b").select("vec", "other", "cosine")
@@ -254,3 +257,94 @@ def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10
 def mutual_pairs(found: DataFrame) -> DataFrame:
     """vec_a, vec_b with vec_a < vec_b: the pairs in which each is among the other's neighbours."""
     return found.groupBy(F.least("vec", "other").alias("vec_a"), F.greatest("vec", "other").alias("vec_b")).agg(F.count("*").alias("sides")).filter("sides = 2").select("vec_a", "vec_b")
+
+
+# --- the k nearest of given queries, however far ---
+
+#: Cells that a query looks into, codes of each block that are compared on floats, and rows of a block.
+PROBES = 16
+SHORTLIST = 200
+CELL_BLOCK = 8192
+QUERY_BLOCK = 4096
+
+
+def _coded(codes: Codes, dim: int, probes: int):
+    """Each vector with its code for its nearest cells: cell, vec_id, code, vec."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x = unit(matrix(part.column(1), dim))
+                far = codes.nearest(x)
+                near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.reshape(-1)
+                packed = np.packbits(codes.bits(x[row], cell), axis=1)
+                vec = part.column(1).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), pa.array([c.tobytes() for c in packed], pa.binary()), vec], names=["cell", "vec_id", "code", "vec"])
+
+    return run
+
+
+def _best_of_block(k: int, dim: int, shortlist: int):
+    import pandas as pd
+
+    def words(codes) -> np.ndarray:
+        raw = np.stack([np.frombuffer(c, np.uint8) for c in codes])
+        return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+
+    def run(_, queries, data):
+        empty = pd.DataFrame({"vec": [], "other": [], "cosine": []}).astype({"vec": "int64", "other": "int64", "cosine": "float64"})
+        if not len(queries) or not len(data):
+            return empty
+        q, d = words(queries["code"]), words(data["code"])
+        qv, dv = np.stack(queries["vec"].to_list()).astype(np.float64), np.stack(data["vec"].to_list()).astype(np.float64)
+        qn, dn = np.sqrt((qv * qv).sum(1)), np.sqrt((dv * dv).sum(1))
+        q_ids, d_ids = queries["vec_id"].to_numpy(), data["vec_id"].to_numpy()
+        out, keep = [], min(shortlist, len(d_ids))
+        for at in range(0, len(q), 64):
+            some = slice(at, at + 64)
+            apart = np.zeros((len(q[some]), len(d)), np.uint16)
+            for w in range(d.shape[1]):
+                apart += np.bitwise_count(q[some, w, None] ^ d[None, :, w])
+            near = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
+            row = np.repeat(np.arange(at, at + len(near)), keep)
+            near = near.reshape(-1)
+            cosine = np.round(np.einsum("ij,ij->i", qv[row], dv[near]) / (qn[row] * dn[near]), 12)
+            found = pd.DataFrame({"vec": q_ids[row], "other": d_ids[near], "cosine": cosine})
+            found = found[found["vec"] != found["other"]].sort_values(["vec", "cosine", "other"], ascending=[True, False, True])
+            out.append(found.groupby("vec").head(k))
+        return pd.concat(out) if out else empty
+
+    return run
+
+
+def nearest_of(df: DataFrame, key: str, vector: str, dim: int, every_nth: int = 100, k: int = 10) -> DataFrame:
+    """vec, other, cosine, rank: the k most similar others of each usable vector whose id is divisible by every_nth, among all usable vectors.
+
+    A radius of many bits would have the substrings' buckets probed almost all, so here a query looks through the whole codes of its
+    PROBES nearest cells, block by block, and compares the SHORTLIST nearest codes of each block on floats. Cells with many rows are cut into blocks,
+    many queries likewise, so no task holds more than one block of each. Ties go to the smaller id; of more than k + 1 copies of a
+    vector the smallest ids are found. Null keys, unusable vectors, repeated rows and empty tables as in neighbours_above."""
+    base = written(usable(df, key, vector, dim), fan_out(df, 2))
+    every = written(_few_copies(base, k).select("vec_id", "vec"), fan_out(df, 2))
+    asked = base.filter(F.col("vec_id") % every_nth == 0)
+    codes = learn(sample(every, SAMPLE, dim), every.count())
+    form = "cell int, vec_id bigint, code binary, vec array<float>"
+    data = written(every.select("vec_id", "vec").mapInArrow(_coded(codes, dim, 1), form))
+    counted = [tuple(r) for r in data.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks")).collect()]  # at most CELLS rows
+
+    def blocks() -> DataFrame:
+        return F.broadcast(df.sparkSession.createDataFrame(counted, "cell int, blocks int"))
+
+    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(blocks(), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+
+    queries = asked.select("vec_id", "vec").mapInArrow(_coded(codes, dim, PROBES), form).join(blocks(), "cell")
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
+    names = ["cell", "block", "part"]
+    met = queries.groupBy(*names).cogroup(dealt(data).groupBy(*names)).applyInPandas(_best_of_block(k, dim, SHORTLIST), "vec bigint, other bigint, cosine double")
+    order = Window.partitionBy("vec").orderBy(F.desc("cosine"), "other")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
