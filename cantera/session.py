@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input that one task of a shuffle should hold.
 TASK_BYTES = 64 << 20
+#: An estimate above this is Catalyst's stand-in for an unknown size.
+UNKNOWN_BYTES = 1 << 56
+MOST_TASKS = 500_000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -81,4 +84,7 @@ def fan_out(df: DataFrame, factor: float = 1.0) -> int:
     """Partitions for work of `factor` times the size of df: by bytes, at least the configured shuffle partitions and two for each core."""
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return max(least, int(size_bytes(df) * factor) // TASK_BYTES + 1)
+    size = size_bytes(df)
+    if size > UNKNOWN_BYTES:  # rows that come from Python or an RDD have no estimate
+        return least
+    return min(MOST_TASKS, max(least, int(size * factor) // TASK_BYTES + 1))
