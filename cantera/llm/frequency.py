@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from cantera.llm.terms import ANY, CHUNK_BITS, containers
 from cantera.session import fan_out, written
 
-#: Above so many numbers a bitmap of 8 KB is smaller than the list of 16-bit numbers.
-LIST_MOST = 4096
+#: Above so many numbers a bitmap of 8 KB is not larger than the list of 16-bit numbers.
+LIST_MOST = 4095
 
 
 def compress(numbers: np.ndarray) -> bytes:

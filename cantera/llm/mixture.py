@@ -4,7 +4,8 @@ The budget runs down a tree domain - language - source. A leaf's weight is its s
 language's part of that source, a node's the sum below it. At each node the budget is split by weight;
 what a child cannot take, as its documents may be repeated only so often, goes to its siblings by their weights, and only
 what a whole node cannot take reaches the siblings of its ancestors. A leaf then takes whole epochs of its
-documents and, of the next epoch, the prefix in that epoch's seeded order that its budget still covers.
+documents and, of the next epoch, the prefix in that epoch's seeded order that its budget still covers: the last document
+is in when more than half of it is.
 
 The prefix is found without sorting a leaf: its documents fall into SLICES slices of the hash that orders
 them; sums per slice tell in which slice the prefix ends, and only that slice is put in order.
@@ -132,7 +133,7 @@ def mix(
     last = ends.groupBy("source", "lang").agg(F.max("slice").alias("last"), F.max_by("before", "slice").alias("before"))  # a row per leaf
     placed = ordered.join(F.broadcast(last), ["source", "lang"], "left")
     inner = Window.partitionBy("source", "lang").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.filter("slice = last").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner)).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("int"))
+    edge = placed.filter("slice = last").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner)).withColumn("extra", (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
     other = placed.filter("last is null or slice <> last").withColumn("extra", F.coalesce((F.col("slice") < F.col("last")).cast("int"), F.lit(0)))
     keep = ["doc_id", "source", "lang", "n_tokens", (F.col("whole") + F.col("extra")).alias("uses")]
     mixture = edge.select(*keep).unionByName(other.select(*keep)).filter("uses > 0")

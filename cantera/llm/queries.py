@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import clusters, distinctive, frequency, mixture, near_duplicates, reading, similar_vectors, tokens
+from cantera.llm import clusters, distinctive, frequency, mixture, near_duplicates, oracle, reading, similar_vectors, tokens
 from cantera.session import table
 
 
@@ -103,4 +103,4 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_knn, p2_found, p2_classes, p3_found, p3_terms, p4_found, p4_clusters, p4_typical, p6_found, p6_enriched, p7_ids, p8_mixture, p8_shares, p9_found, p9_levels)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.sql(VECTORS)
