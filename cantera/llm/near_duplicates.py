@@ -3,14 +3,13 @@
 Records with the same set of runs form a class, which is compared once. A class gets one sketch by
 one-permutation hashing: each run falls into one of BINS bins by its hash, a bin keeps its smallest; empty bins
 borrow from a full bin that a universal hash of the bin and the attempt picks (optimal densification). Bands of
-ROWS bins make buckets. A bucket gives star-shaped candidate edges only: from its HUBS first members, in an
-order that differs from band to band, to every member. So a bucket of g members gives at most HUBS * g edges,
-however large it is, and a bucket of at most HUBS + 1 members loses no pair. Each edge is then checked exactly on
-the run sets.
+ROWS bins make buckets, and every two members of a bucket are compared. A bucket of at most HUBS + 1 members gives its
+pairs as edges, each of which is checked exactly on the run sets. A larger one is cut into blocks of about
+BLOCK members that meet pairwise: a task holds two blocks with their run sets, counts all the runs that two members share, and
+gives the pairs that are similar enough; a pair that meets in several bands comes from the first of them.
 
 The chance that a pair of similarity s meets in no bucket is (1 - s^ROWS)^BANDS: 2e-5 at 0.5 for the default
-values, less above. Two members of a larger bucket, neither of them a hub, still meet when one of them is a hub
-in another band that they share.
+values, less above, whatever the size of its family.
 """
 
 from __future__ import annotations
@@ -30,6 +29,8 @@ ROWS = 3
 BANDS = 80
 BINS = ROWS * BANDS
 HUBS = 8
+#: Members of a block of a bucket that has more than HUBS + 1 of them.
+BLOCK = 1024
 #: Run of a record's terms, and the terms that the second text must have.
 RUN = 3
 LEAST_TERMS = 10
@@ -83,20 +84,25 @@ def sketches(flat: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     return result
 
 
+def band_keys(flat: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """The buckets, count x BANDS, of sets given as in sketches()."""
+    sketch = sketches(flat, owner, count)
+    with np.errstate(over="ignore"):
+        key = np.zeros((count, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        for r in range(ROWS):
+            key = mixed(key * _MULTIPLIER + sketch[:, r::ROWS])
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             held = part.column(1)
-            sizes = np.diff(held.offsets.to_numpy())
-            owner = np.repeat(np.arange(part.num_rows), sizes)
-            sketch = sketches(held.flatten().to_numpy().view(np.uint64), owner, part.num_rows)
-            with np.errstate(over="ignore"):
-                key = np.zeros((part.num_rows, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    key = mixed(key * _MULTIPLIER + sketch[:, r::ROWS])
+            owner = np.repeat(np.arange(part.num_rows), np.diff(held.offsets.to_numpy()))
+            key = band_keys(held.flatten().to_numpy().view(np.uint64), owner, part.num_rows)
             ids = np.repeat(part.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["bucket", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(ids)], names=["bucket", "id"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +144,82 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket, with whole buckets in a partition: the pairs of each bucket of at most HUBS + 1 members (a, b); of a larger one its members (a: id, bucket)."""
+
+    def out(keys: np.ndarray, ids: np.ndarray, member: np.ndarray) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(int(member.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[member]), none, pa.array(keys[member])], names=["a", "b", "bucket"])
+        for star in _stars(iter([pa.RecordBatch.from_arrays([pa.array(keys[~member]), pa.array(ids[~member])], names=["bucket", "id"])])):
+            yield pa.RecordBatch.from_arrays([star.column(0), star.column(1), pa.nulls(star.num_rows, pa.int64())], names=["a", "b", "bucket"])
+
+    # A batch may cut a bucket: a small one is held back until its end, a large one is known by its key.
+    held_keys, held_ids, known = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        keys, ids = np.r_[held_keys, batch.column(0).to_numpy()], np.r_[held_ids, batch.column(1).to_numpy()]
+        if not len(keys):
+            continue
+        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[start, len(keys)])
+        large = (size > HUBS + 1) | (keys[start] == known if known is not None else False)
+        cut = len(keys) if large[-1] else start[-1]
+        known = keys[-1] if large[-1] else None
+        held_keys, held_ids = keys[cut:], ids[cut:]
+        yield from out(keys[:cut], ids[:cut], np.repeat(large, size)[:cut])
+    yield from out(held_keys, held_ids, np.zeros(len(held_keys), bool))
+
+
+def shared_runs(flat: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """count x count: how many elements each two different sets have in common; the diagonal has no meaning."""
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(flat)])
+    both = np.zeros(count * count, np.int32)
+    often = size > max(8, count // 8)  # at most eight times the mean size of a set
+    for g in np.unique(size[~often & (size > 1)]):
+        which = start[size == g]
+        step = max(1, (1 << 21) // int(g * g))
+        for at in range(0, len(which), step):
+            members = owner[which[at : at + step, None] + np.arange(g)]
+            np.add.at(both, (members[:, :, None] * count + members[:, None, :]).reshape(-1), 1)
+    both = both.reshape(count, count)
+    first, step = np.flatnonzero(often), max(1, (1 << 22) // max(1, count))
+    for at in range(0, len(first), step):
+        some = first[at : at + step]
+        held = np.zeros((len(some), count), np.float32)
+        for r, f in enumerate(some):
+            held[r, owner[start[f] : start[f] + size[f]]] = 1
+        both += np.rint(held.T @ held).astype(np.int32)
+    return both
+
+
+def _blocks_meet(threshold: float):
+    """Of two blocks of a bucket (or one with itself): its similar pairs that meet in no band before the bucket's."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, mine = rows["id"].to_numpy(), rows["mine"].to_numpy()
+        lists = rows["runs"].chunk(0) if rows["runs"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        size = np.diff(lists.offsets.to_numpy())
+        flat, owner = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(ids)), size)
+        both = shared_runs(flat, owner, len(ids))
+        similar = both / np.maximum(size[:, None] + size - both, 1)
+        meet = (ids[:, None] < ids) & (similar >= threshold)
+        if mine.min() != mine.max():
+            meet &= mine[:, None] != mine
+        keys = band_keys(flat, owner, len(ids))
+        band = int((keys[0] == rows["bucket"][0].as_py()).argmax())
+        i, j = np.nonzero(meet)
+        new = np.ones(len(i), bool)
+        for before in range(band):
+            new &= keys[i, before] != keys[j, before]
+        i, j = i[new], j[new]
+        return pa.table([pa.array(ids[i]), pa.array(ids[j]), pa.array(similar[i, j])], names=["a", "b", "similarity"])
+
+    return run
+
+
 def run_sets(df: DataFrame, key: str, title: str, text: str) -> DataFrame:
     """id, runs: the set of runs of each distinct record whose text has enough terms.
 
@@ -157,13 +239,22 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """a, b, similarity with a < b: the pairs of classes whose run sets have a Jaccard similarity of at least the threshold. sets holds one row per class."""
     parts = fan_out(sets, factor=4)
     bands = sets.repartition(parts, "id").mapInArrow(_bands, "bucket bigint, id bigint")
-    ordered = bands.repartition(parts, "bucket").withColumn("turn", F.xxhash64("bucket", "id")).sortWithinPartitions("bucket", "turn").drop("turn")
-    edges = ordered.mapInArrow(_stars, "a bigint, b bigint").distinct()
+    met = written(bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets, "a bigint, b bigint, bucket bigint"))
+    edges = met.filter("bucket is null").select("a", "b").distinct()
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
     both = F.size(F.array_intersect("runs_a", "runs_b")).cast("double")
-    met = edges.join(left, "a").join(right, "b")
-    return met.select("a", "b", (both / (F.size("runs_a") + F.size("runs_b") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    checked = edges.join(left, "a").join(right, "b")
+    found = checked.select("a", "b", (both / (F.size("runs_a") + F.size("runs_b") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    large = met.filter("bucket is not null").select("bucket", F.col("a").alias("id"))
+    if large.isEmpty():
+        return found
+    sized = large.join(large.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bucket")
+    dealt = sized.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = dealt.join(sets, "id").select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "runs")
+    again = held.repartition(parts, "bucket", "low", "high").groupBy("bucket", "low", "high").applyInArrow(_blocks_meet(threshold), "a bigint, b bigint, similarity double")
+    # A pair may also meet in a small bucket of a later band.
+    return found.unionByName(again).dropDuplicates(["a", "b"])
 
 
 def _found(df: DataFrame, key: str, title: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -186,6 +186,45 @@ def test_stars_over_batches():
         assert len(edges) == 1 + 36 + sum(30 - 1 - h for h in range(near_duplicates.HUBS))
 
 
+@pytest.mark.parametrize("block", [100, 1024])
+def test_large_family(spark, monkeypatch, block):
+    """A family of 1,000 different variants, more than the hubs of its buckets reach: every pair comes, in blocks or in one."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", block, raising=False)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, None, " ".join(words)))
+    sets = [set(near_duplicates.runs(terms(t), 3).tolist()) for _, _, t in rows]
+    want = {(a, b) for a, b in itertools.combinations(range(1000), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(frame(spark, rows), "id", "song", "texto").toPandas().itertuples(index=False)]
+    assert len(got) == len(set(got)) and set(got) <= want and len(want) > 400_000
+    assert len(got) >= 0.9999 * len(want)
+    links = near_duplicates.near_duplicate_classes(frame(spark, rows), "id", "song", "texto").agg(F.sum("n_links")).first()[0]
+    assert links == 2 * len(got)
+
+
+def test_shared_runs():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(50)] + [np.array([7, 1000], np.uint64)]
+    both = near_duplicates.shared_runs(np.concatenate(sets), np.repeat(np.arange(51), [len(x) for x in sets]), 51)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(51) for j in range(51) if i != j)
+
+
+def test_buckets_over_batches():
+    import pyarrow as pa
+
+    keys = [1] * 2 + [2] * 9 + [3] * 30 + [4]
+    for cut in (1, 4, 10, 17, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + cut], pa.int64()), pa.array(list(range(len(keys)))[i : i + cut], pa.int64())], names=["bucket", "id"]) for i in range(0, len(keys), cut)]
+        rows = [r for b in near_duplicates._buckets(iter(batches)) for r in b.to_pylist()]
+        pairs, members = [(r["a"], r["b"]) for r in rows if r["bucket"] is None], [(r["bucket"], r["a"]) for r in rows if r["bucket"] is not None]
+        assert sorted(pairs) == [(0, 1), *itertools.combinations(range(2, 11), 2)] and members == [(3, i) for i in range(11, 41)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**62, 90).astype(np.uint64)
