@@ -115,6 +115,33 @@ def test_clusters(spark):
         assert sorted(r["vec_id"] for r in own if r["typical_rank"]) == sorted(i for _, i in best) or len({s for s, _ in best}) < 3
 
 
+def test_small_clusters(spark, monkeypatch):
+    """Clusters of 10 among noise that seeds don't hit: the drawn ones are few here, as they are in a large table."""
+    monkeypatch.setattr(clusters, "K", 2)
+    monkeypatch.setattr(clusters, "OVERSAMPLE", 2)
+    monkeypatch.setattr(clusters, "REST_BLOCK", 700, raising=False)
+    monkeypatch.setattr(clusters, "START_BLOCK", 300, raising=False)
+    rng = np.random.default_rng(5)
+    dim, noise = 60, rng.standard_normal((1500, 60))
+    planted = []
+    for _ in range(12):
+        c = rng.standard_normal(dim)
+        planted.append(c / np.linalg.norm(c) + rng.standard_normal((10, dim)) * 0.07)
+    x = [(i + 1, np.float32(r)) for i, r in enumerate(np.vstack([noise, *planted]))]
+    u = np.stack([r for _, r in x]).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for g in range(12):
+        own = np.arange(1500 + 10 * g, 1510 + 10 * g)
+        cos = u @ (u[own].mean(0) / np.linalg.norm(u[own].mean(0)))
+        if cos[own].min() >= 0.8 and np.delete(cos, own).max() < 0.6:
+            want.add(frozenset((own + 1).tolist()))
+    found = {}
+    for r in clusters.similarity_clusters(table(spark, x, dirty(dim)), "vec_id", "v", dim).collect():
+        found.setdefault(r["cluster_id"], set()).add(r["vec_id"])
+    assert len(want) >= 10 and {frozenset(v) for v in found.values()} == want
+
+
 def test_hashed_features():
     x = np.random.default_rng(0).standard_normal((5, 1000))
     f = clusters.hashed_features(x)
