@@ -154,3 +154,30 @@ def test_held_out_grades(spark):
     assert len(got) == 35
     rank = lambda d: np.argsort(np.argsort([d[i] for i in sorted(d)]))
     assert np.corrcoef(rank(got), rank(true))[0, 1] > 0.9
+
+
+def test_propagation_converges(spark):
+    """Many short texts that hold a graded word only now and then: the harmonic solution, not some steps towards it."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(60)]
+    short = [(1000 + i, " ".join(rng.sample(names[:40] if i % 25 else names, 4))) for i in range(300)]
+    rows = [(i, " ".join(rng.choice(names[40:]) + ("." if k % (5 + i) == 0 else "") for k in range(60))) for i in range(10)] + short
+    got = {r["doc_id"]: r["score"] for r in reading.reading_level(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    held = {i: set(reading.measure(t)[3]) for i, t in rows}
+    words = sorted({w for i, _ in short for w in held[i]})
+    n_all = {w: sum(w in h for h in held.values()) for w in words}
+    rarity = {w: np.log1p(len(rows) / n_all[w]) for w in words}
+    at = {i: k for k, (i, _) in enumerate(short)}
+    a, c = np.eye(len(short)), np.zeros(len(short))
+    for i, k in at.items():
+        whole = sum(rarity[w] for w in held[i])
+        for w in held[i]:
+            for j, h in held.items():
+                if w in h and j in at:
+                    a[k, at[j]] -= rarity[w] / whole / n_all[w]
+                elif w in h:
+                    c[k] += rarity[w] / whole / n_all[w] * got[j]
+    want = np.linalg.solve(a, c)
+    assert max(abs(got[i] - want[k]) for i, k in at.items()) < 1e-3
+    with pytest.raises(RuntimeError):
+        reading.reading_level(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", rounds=2)
