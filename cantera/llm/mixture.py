@@ -78,13 +78,13 @@ def language(column) -> F.Column:
 
 
 def mix(
-    df: DataFrame, targets: DataFrame, domains: dict[str, str], total_tokens: float | None = None, seed: int = 11, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS
+    df: DataFrame, targets: DataFrame, domains: dict[str, str], total_tokens: float | str | None = None, seed: int = 11, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, lang, n_tokens, uses) and the report (source, cuota, n_docs, n_tokens, share, most_uses).
 
     df has doc_id, text, lang and source; targets has source, cuota and max_repeticiones. domains names each source's domain, others are in
-    'general'. total_tokens is the size wanted; by default the largest at which no source with documents falls short of its share, those
-    without documents set aside. Documents without tokens (null and empty texts), of null sources or of sources without target are not used; repeated rows count
+    'general'. total_tokens is the size wanted, 'all' for the tokens of all documents with a target; by default the largest at which no source with documents falls short of its share, those
+    without documents set aside. With a size wanted, what a source lacks goes to its siblings first; cuota and share then tell wanted from reached. Documents without tokens (null and empty texts), of null sources or of sources without target are not used; repeated rows count
     once; null keys, targets with a null source, a share or a number of repetitions that is null or not positive are left out; of several targets of one source the largest share counts.
     A target without documents is reported with 0. Empty tables give an empty mixture."""
     spark = df.sparkSession
@@ -110,7 +110,9 @@ def mix(
     for s in sorted(set(share) - set(tokens)):
         root.child(domains.get(s, "general")).child("und").child(s).weight = share[s]
     root.total()
-    if total_tokens is None:
+    if total_tokens == "all":
+        total_tokens = float(sum(tokens.values()))
+    elif total_tokens is None:
         present = sum(share[s] for s in tokens)
         total_tokens = min((repeats[s] * tokens[s] * present / share[s] for s in tokens), default=0.0)
         for s in set(share) - set(tokens):  # what they cannot take would burden their siblings alone

@@ -87,11 +87,11 @@ DOMAINS = {
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS)[0]
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS, total_tokens="all")[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS)[1]
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS, total_tokens="all")[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

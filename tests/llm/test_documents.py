@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cantera.llm import mixture, reading, tokens
+from cantera.llm import mixture, queries, reading, tokens
 
 TEXTS = [
     "Una luz, otra luz; 12345 años...", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "你好" * 20, "  \n\n x\t\ty  ", "<|endoftext|> hi", "I'LL i'll don't we've", "👍🏽" * 7, "\x00\x01 é́ ​", "a", " ", "$$$###!!!",
@@ -105,6 +105,20 @@ def test_mixture(spark, wanted):
     assert again == {tuple(r) for r in rows}
 
 
+def test_registered_mixture(spark, tmp_path):
+    """A target without documents and one with a single short document fall short: their siblings make up for it, and neither shrinks the mixture."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("uno dos tres cuatro".split(), k=20)), "es", ["letras", "foro_motor"][i % 2]) for i in range(2000)] + [(5000, "uno", "es", "notas_audio")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("letras", 0.3, 3), ("notas_audio", 0.1, 3), ("archivo_radio", 0.1, 3), ("foro_motor", 0.5, 3)]
+    spark.createDataFrame(targets, "source string, cuota double, max_repeticiones int").write.parquet(f"{tmp_path}/mezcla_objetivo.parquet")
+    got = {r["source"]: r for r in queries.p8_shares(spark, str(tmp_path)).collect()}
+    assert got["foro_motor"]["share"] == pytest.approx(0.5, abs=0.01) and got["letras"]["share"] == pytest.approx(0.5, abs=0.01)
+    assert got["archivo_radio"]["n_docs"] == 0 and got["notas_audio"]["most_uses"] == 3
+    assert sum(r["n_tokens"] for r in got.values()) > 30_000
+    assert sum(r["n_tokens"] * r["uses"] for r in queries.p8_mixture(spark, str(tmp_path)).collect()) == sum(r["n_tokens"] for r in got.values())
+
+
 def test_empty_mixture(spark):
     docs, targets = corpus(spark), spark.createDataFrame(TARGETS, "source string, cuota double, max_repeticiones int")
     assert mixture.mix(docs.limit(0), targets, {})[0].count() == 0
