@@ -11,8 +11,8 @@ them, so reading each vector's own buckets retrieves every code within that radi
 substrings have about log2(n) bits, which keeps a bucket's expected size constant as n grows. Pairs that
 meet are thinned by the Hamming distance of 64 spread bits of the code, and cosines are worked out on the floats.
 
-A vector lies in its nearest cell and in every other whose centre is hardly farther (by half the distance of two
-vectors that are just similar enough), so that near vectors on two sides of a border meet.
+A vector lies in its nearest cell and in every other whose centre is hardly farther (by the distance of two
+vectors that are just similar enough), so that near vectors on two sides of a border always have a cell in common.
 
 Copies: of the vectors with equal elements only the k + 1 smallest ids take part, as no vector can
 have more of them among its k most similar when ties go to the smaller id; one of them is indexed.
@@ -98,6 +98,11 @@ def learn(x: np.ndarray, n: int, seed: int = 7) -> Codes:
     return Codes(centres, np.vstack(rotations)[: width * SUBSTRINGS], width)
 
 
+def border_margin(least: float) -> float:
+    """The distance of unit vectors with a cosine of `least`: of two that are no farther apart, one lies in the other's nearest cell when cells reach so far."""
+    return math.sqrt(2 * max(0.0, 1 - least))
+
+
 def _indexed(codes: Codes, dim: int, margin: float):
     weights = (1 << np.arange(codes.width)).astype(np.int64)
     spread = np.arange(64) * (codes.width * SUBSTRINGS) // 64
@@ -242,7 +247,7 @@ def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10
     every = written(_few_copies(usable(df, key, vector, dim), k), fan_out(df, 2))
     heads = every.filter("place = 1")
     codes = learn(sample(heads, SAMPLE, dim), heads.count())
-    margin = math.sqrt(2 * max(0.0, 1 - least)) / 2
+    margin = border_margin(least)
     near = _cosine_pairs(_candidates(heads, codes, dim, margin), heads, dim).filter(F.col("cosine") >= least)
     # From heads to the copies that take part.
     member = written(every.withColumn("head", F.min("vec_id").over(Window.partitionBy("h1", "h2"))).select("vec_id", "head"))

@@ -62,6 +62,26 @@ def test_mutual_neighbours(spark, monkeypatch, block):
     assert len(got) >= 0.98 * len(want) and len(want) > 60
 
 
+def test_near_vectors_share_a_cell():
+    """Pairs just similar enough on two sides of a border: all have a cell in common, with half the margin some have none."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((64, 8))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    codes = similar_vectors.Codes(centres, np.zeros((1, 8)), 1)
+    x = rng.standard_normal((100_000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    y = 0.996 * x + np.sqrt(1 - 0.996**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    a, b = codes.nearest(x), codes.nearest(y)
+
+    def apart(margin):
+        return (~((a <= a.min(1, keepdims=True) + margin) & (b <= b.min(1, keepdims=True) + margin)).any(1)).sum()
+
+    margin = similar_vectors.border_margin(0.996)
+    assert apart(margin) == 0 and apart(margin / 2) > 0
+
+
 def test_nearest_of(spark, monkeypatch):
     monkeypatch.setattr(similar_vectors, "CELL_BLOCK", 50)
     monkeypatch.setattr(similar_vectors, "QUERY_BLOCK", 7)
