@@ -37,7 +37,12 @@ NOTATIONS = {
     "plain": rf"{_OPEN}({_NUMBER})\s*(?:,|\s)\s*({_NUMBER}){_CLOSE}",
     "semicolon": rf"{_OPEN}({_COMMA})\s*;\s*({_COMMA}){_CLOSE}",
     "letters": rf"{_OPEN}(\d+(?:[.,]\d+)?)\s*°?\s*([NnSs])\s*[,;]?\s*(\d+(?:[.,]\d+)?)\s*°?\s*([EeWwOo]){_CLOSE}",
+    "blank": rf"{_OPEN}([-+−]?\d+,\d+)\s+([-+−]?\d+,\d+){_CLOSE}",
 }
+#: Either label, a hemisphere before or after, and degrees with or without minutes and seconds: groups 1 before, 2 sign, 3-5 numbers, 6 after.
+_DEGREES = r"([{0}]?)\s*([-+−]?)\s*(\d+(?:[.,]\d+)?)\s*°?\s*(?:(\d+(?:[.,]\d+)?)\s*['′’]\s*)?(?:(\d+(?:[.,]\d+)?)\s*(?:\"|″|”|'')\s*)?([{0}]?)"
+_LABEL = r"(?:{0})?\s*[:=]?\s*"
+FALLBACK = rf"(?i){_OPEN}{_LABEL.format('lat(?:itude?|itud)?')}{_DEGREES.format('NS')}\s*(?:[,;/]\s*|\s+|(?<=[NS]))\s*{_LABEL.format('(?:lon|lng)(?:gitude?|gitud)?')}{_DEGREES.format('EWO')}{_CLOSE}"
 
 
 def _number(text: Column) -> Column:
@@ -47,15 +52,25 @@ def _number(text: Column) -> Column:
 def parse_location(location: Column) -> Column:
     """A struct of lat and lon, or null where no latitude from -90 to 90 and longitude from -180 to 180 can be read.
 
-    Latitude comes first. Null, empty, incomplete and out-of-range locations give null."""
+    Latitude comes first. Beside the NOTATIONS, labels (lat, lon), hemispheres before the number and minutes and seconds are read; O is
+    west (oeste). Not read: longitude first, three numbers without marks for minutes and seconds, a sign together with a hemisphere, numbers in words. Null, empty, incomplete and out-of-range locations give null."""
 
     def part(kind: str, group: int) -> Column:
         return F.regexp_extract(location, NOTATIONS[kind], group)
 
     lettered_lat = _number(part("letters", 1)) * F.when(F.upper(part("letters", 2)) == "S", -1.0).otherwise(1.0)
     lettered_lon = _number(part("letters", 3)) * F.when(F.upper(part("letters", 4)).isin("W", "O"), -1.0).otherwise(1.0)
-    lat = F.coalesce(_number(part("plain", 1)), _number(part("semicolon", 1)), lettered_lat)
-    lon = F.coalesce(_number(part("plain", 2)), _number(part("semicolon", 2)), lettered_lon)
+
+    def degrees(first: int, negative: str) -> Column:
+        before, sign, whole, minutes, seconds, after = (F.regexp_extract(location, FALLBACK, first + i) for i in range(6))
+        letter = F.upper(F.concat(before, after))
+        least = F.coalesce(_number(minutes), F.lit(0.0)), F.coalesce(_number(seconds), F.lit(0.0))
+        turned = letter.rlike(f"[{negative}]") | sign.isin("-", "−")
+        once = (F.length(letter) <= 1) & ((sign == "") | (letter == "")) & (least[0] < 60) & (least[1] < 60)
+        return F.when(once, (_number(whole) + least[0] / 60 + least[1] / 3600) * F.when(turned, -1.0).otherwise(1.0))
+
+    lat = F.coalesce(_number(part("plain", 1)), _number(part("semicolon", 1)), lettered_lat, _number(part("blank", 1)), degrees(1, "S"))
+    lon = F.coalesce(_number(part("plain", 2)), _number(part("semicolon", 2)), lettered_lon, _number(part("blank", 2)), degrees(7, "WO"))
     return in_range(lat, lon)
 
 

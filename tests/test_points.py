@@ -21,6 +21,18 @@ def test_notations(spark):
     assert all(got[k] is None for k in bad)
 
 
+def test_more_notations(spark):
+    good = {
+        "N 40.4, W 3.7": (40.4, -3.7), "S40.4 E3.7": (-40.4, 3.7), "40°30'0\"N 3°15'36\"W": (40.5, -3.26), "lat 40.4 lon -3.7": (40.4, -3.7), "lat: 40.4, lng: 3.7": (40.4, 3.7),
+        "latitud=-40,4; longitud=3,7": (-40.4, 3.7), "40,41 -3,70": (40.41, -3.7), "(N 8,5; O 75,5)": (8.5, -75.5),
+    }
+    bad = ["N 40.4", "lat 40.4", "lat 91 lon 0", "N 40.4 N 3.7", "1, 2, 3", "40.4N", "S -40.4, E 3", "1.5", "12", "lat lon", "40 30 20", "(15.4)", "40°70'N 3°0'E"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "location string").select("location", P.parse_location(F.col("location")).alias("p"))
+    got = {r["location"]: r["p"] and tuple(r["p"]) for r in df.collect()}
+    assert all(got[k] == pytest.approx(v) for k, v in good.items() if got[k]) and [k for k in good if not got[k]] == []
+    assert [k for k in bad if got[k]] == []
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "id int, lat double, lon double")
 
