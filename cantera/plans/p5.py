@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.operators.points import containing_regions, in_range, located, near_pairs, near_points, parse_location
-from cantera.session import table, written
+from cantera.operators.points import containing_regions, located, near_pairs, near_points, parse_location
+from cantera.session import scratch, table, written
 
 LISTING_RADIUS = 0.000075
 STORE_RADIUS = 0.01
@@ -15,19 +15,20 @@ STORE_RADIUS = 0.01
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, id, ref_id: listings near each listing, stores near it, zones around it."""
     airbnb = table(spark, sf_dir, "airbnb")
-    listings = written(located(airbnb, "id", parse_location(F.col("location"))))
     ubicacion = F.col("ubicacion")
     finite = (F.size(ubicacion) >= 2) & (F.abs(F.get(ubicacion, F.lit(0))) < float("inf")) & (F.abs(F.get(ubicacion, F.lit(1))) < float("inf"))
     stores = table(spark, sf_dir, "tiendas").filter(F.coalesce(finite, F.lit(False)))
     stores = located(stores, "id", F.struct(F.get(ubicacion, F.lit(0)).alias("lat"), F.get(ubicacion, F.lit(1)).alias("lon")))
     zones = table(spark, sf_dir, "zonas")
-    parts = [
-        ("airbnb", near_pairs(listings, LISTING_RADIUS)),
-        ("tienda", near_points(listings, stores, STORE_RADIUS)),
-        ("zona", containing_regions(listings, zones, "zona_id", "contorno").withColumnRenamed("region", "id_2")),
-    ]
-    rows = [df.select(F.lit(kind).alias("kind"), F.col("id").cast("int").alias("id"), F.col("id_2").cast("int").alias("ref_id")) for kind, df in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    with scratch() as keep:
+        listings, stores = written(located(airbnb, "id", parse_location(F.col("location")))), written(stores)
+        parts = [
+            ("airbnb", near_pairs(listings, LISTING_RADIUS)),
+            ("tienda", near_points(listings, stores, STORE_RADIUS)),
+            ("zona", containing_regions(listings, zones, "zona_id", "contorno").withColumnRenamed("region", "id_2")),
+        ]
+        rows = [df.select(F.lit(kind).alias("kind"), F.col("id").cast("int").alias("id"), F.col("id_2").cast("int").alias("ref_id")) for kind, df in parts]
+        return keep(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 _N = r"[-+−]?\d+(?:\.\d+)?"

@@ -7,6 +7,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,40 +19,69 @@ TASK_BYTES = 64 << 20
 UNKNOWN_BYTES = 1 << 56
 MOST_TASKS = 500_000
 _written: list[tuple[SparkSession, str]] = []
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir. Only a local session, as in tests, may leave it unset: it gets a temporary one."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cantera-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def _remove() -> None:
-    for spark, path in _written:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:
             pass  # the session ended first
-    _written.clear()
+    tables.clear()
+
+
+atexit.register(_remove, _written)
 
 
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df, computed once and kept as a Parquet table in the shared folder: lineage is cut and any lost executor's part can be read again."""
+    """df, computed once and kept as a Parquet table in the shared folder: lineage is cut and any lost executor's part can be read again.
+
+    The table goes when the scratch scope around it ends, without one when the process does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
+    (_scopes[-1] if _scopes else _written).append((spark, path))
     (df.repartition(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written within are removed at the end, but for those of DataFrames that went through the function given, which read nothing else."""
+    mine: list[tuple[SparkSession, str]] = []
+    kept: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        """df as a written table that outlives the scope."""
+        before = len(mine)
+        df = written(df)
+        kept.extend(mine[before:])
+        del mine[before:]
+        return df
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        _remove(mine)
+        (_scopes[-1] if _scopes else _written).extend(kept)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of all executors, once for each application, by the shared folder."""
     sc = spark.sparkContext
@@ -76,15 +107,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def size_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of df's size; where it has none, as for rows that come from Python, the size of the files and tables that are read."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size <= UNKNOWN_BYTES:
+        return size
+    leaves = plan.collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s <= UNKNOWN_BYTES)
 
 
 def fan_out(df: DataFrame, factor: float = 1.0) -> int:
     """Partitions for work of `factor` times the size of df: by bytes, at least the configured shuffle partitions and two for each core."""
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    size = size_bytes(df)
-    if size > UNKNOWN_BYTES:  # rows that come from Python or an RDD have no estimate
-        return least
-    return min(MOST_TASKS, max(least, int(size * factor) // TASK_BYTES + 1))
+    return min(MOST_TASKS, max(least, int(size_bytes(df) * factor) // TASK_BYTES + 1))

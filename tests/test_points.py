@@ -14,7 +14,7 @@ def test_notations(spark):
         "(50.5, 1.25)": (50.5, 1.25), " ( -43.5 ,  80.4 ) ": (-43.5, 80.4), "(47,6; -63,4)": (47.6, -63.4), "[1.5, 2]": (1.5, 2.0), "9.5, -1.5": (9.5, -1.5),
         "8.5S 75.5W": (-8.5, -75.5), "46.5N 42.4E": (46.5, 42.4), "(+34.4, 11.4)": (34.4, 11.4), "(-50.2 ,-95.4)": (-50.2, -95.4), "(90, -180)": (90.0, -180.0), "8,5 S; 75,5 O": (-8.5, -75.5),
     }
-    bad = [None, "", "NaN", "(,)", "(n/a, n/a)", "(15.4)", "(51.4, )", "sin ubicación", "(91, 0)", "(0, 181)", "(1, 2, 3)", "x" * 100_000]
+    bad = [None, "", "NaN", "(,)", "(n/a, n/a)", "(15.4)", "(51.4, )", "sin ubicación", "\x01" + "1\x01\x012\x01", "1" * 50_000, " " * 50_000 + "x", "(91, 0)", "(0, 181)", "(1, 2, 3)", "x" * 100_000]
     df = spark.createDataFrame([(x,) for x in [*good, *bad]], "location string").select("location", P.parse_location(F.col("location")).alias("p"))
     got = {r["location"]: r["p"] and tuple(r["p"]) for r in df.collect()}
     assert {k: got[k] for k in good} == good
@@ -48,12 +48,18 @@ def test_near_pairs(spark, monkeypatch, block):
     assert P.near_pairs(frame(spark, []), 0.004).count() == 0
 
 
-def test_near_points(spark):
+@pytest.mark.parametrize("block", [4, 2048])
+def test_near_points(spark, monkeypatch, block):
+    monkeypatch.setattr(P, "BLOCK", block)
     rng = random.Random(2)
     a = [(i, rng.random(), rng.random()) for i in range(100)]
     b = [(i, rng.random(), rng.random()) for i in range(40)]
     want = {(x[0], y[0]) for x in a for y in b if np.hypot(x[1] - y[1], x[2] - y[2]) <= 0.1}
-    assert {tuple(r) for r in P.near_points(frame(spark, a), frame(spark, b), 0.1).collect()} == want
+    a += [(100 + i, 0.5, 0.5 + i / 1e4) for i in range(40)]  # a crowded place
+    want |= {(x[0], y[0]) for x in a[100:] for y in b if np.hypot(x[1] - y[1], x[2] - y[2]) <= 0.1}
+    got = [tuple(r) for r in P.near_points(frame(spark, a), frame(spark, b), 0.1).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert P.near_points(frame(spark, a), frame(spark, []), 0.1).count() == P.near_points(frame(spark, []), frame(spark, b), 0.1).count() == 0
 
 
 def inside(ring, lat, lon):
@@ -64,9 +70,11 @@ def inside(ring, lat, lon):
     return odd
 
 
-@pytest.mark.parametrize("sent", [32 << 20, 0])
-def test_regions(spark, monkeypatch, sent):
+@pytest.mark.parametrize("sent, block", [(32 << 20, 1 << 16), (0, 1 << 16), (0, 8)])
+def test_regions(spark, monkeypatch, sent, block):
+    """Slabs sent to every task, distributed by tiles, and with a tile's points and edges (a dense city) in blocks."""
     monkeypatch.setattr(P, "SENT_BYTES", sent)
+    monkeypatch.setattr(P, "TILE_BLOCK", block)
     rng = random.Random(3)
     zones = []
     for i in range(30):
@@ -76,7 +84,7 @@ def test_regions(spark, monkeypatch, sent):
         zones.append((i, f"Z{i}", [[float(v) for v in c] for c in ring + (ring[:1] if i % 3 == 0 else [])]))
     extra = [(90, "none", None), (91, "two", [[0.0, 0.0], [1.0, 1.0]]), (92, "flat", [[0.0, 0.0], [0.0, 1.0], [0.0, 2.0]]), (None, "no id", [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0]])]
     df = spark.createDataFrame(zones + extra + zones[:2], "zona_id int, nombre string, contorno array<array<double>>")
-    pts = [(i, rng.random() * 5 - 0.5, rng.random() * 5 - 0.5) for i in range(400)]
+    pts = [(i, rng.random() * 5 - 0.5, rng.random() * 5 - 0.5) for i in range(400)] + [(400 + i, 2.01 + i / 1e4, 2.01) for i in range(100)]
     want = {(p[0], z[0]) for p in pts for z in zones if inside(z[2], p[1], p[2])}
     got = [tuple(r) for r in P.containing_regions(frame(spark, pts), df, "zona_id", "contorno").collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
