@@ -97,7 +97,9 @@ def in_range(lat: Column, lon: Column) -> Column:
 
 def located(df: DataFrame, key: str, location: Column) -> DataFrame:
     """id, lat, lon of the distinct records that have a point; null keys and other columns are left out."""
-    rows = df.select(F.col(key).alias("id"), location.alias("point")).filter("id is not null and point is not null")
+    # Exploded, as a filter would be pushed below and have each location read twice.
+    held = F.explode(F.filter(F.array(location), lambda p: p.isNotNull()))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), held.alias("point"))
     return rows.select("id", "point.lat", "point.lon").dropDuplicates(["id"])
 
 
@@ -120,7 +122,8 @@ def _visits(points: DataFrame, width: float, radius: float) -> DataFrame:
 def _meeting(points: DataFrame, others: DataFrame, width: float, radius: float) -> DataFrame:
     """Every point with each of the others in reach: id, lat, lon, id_2, lat_2, lon_2 of those at most radius apart. Crowded cells' points are dealt over blocks by hash, all of which the others visit."""
     home, visits = _home(points, width), _visits(others, width, radius)
-    crowded = home.groupBy("cx", "cy").count().filter(F.col("count") > BLOCK).select("cx", "cy", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # Written, so that its size is known before it is joined: mostly it is small enough to leave the points where they are.
+    crowded = written(home.groupBy("cx", "cy").count().filter(F.col("count") > BLOCK).select("cx", "cy", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     mine = home.join(crowded, ["cx", "cy"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
     other = visits.join(crowded, ["cx", "cy"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
     dx, dy = F.col("lat") - F.col("lat_2"), F.col("lon") - F.col("lon_2")
@@ -241,7 +244,7 @@ def _tiled(points: DataFrame, found: DataFrame, form: str) -> DataFrame:
     def crowded(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("ty", "tx").count().filter(F.col("count") > TILE_BLOCK).select("ty", "tx", F.ceil(F.col("count") / TILE_BLOCK).cast("int").alias(name))
 
-    blocks = crowded(placed, "pb").join(crowded(tiled, "eb"), ["ty", "tx"], "full")
+    blocks = written(crowded(placed, "pb").join(crowded(tiled, "eb"), ["ty", "tx"], "full"))
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         sized = df.join(blocks, ["ty", "tx"], "left").withColumns({b: F.coalesce(b, F.lit(1)) for b in ("pb", "eb")})
