@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantera.llm import buckets
 from cantera.llm.terms import terms
-from cantera.session import fan_out, written
+from cantera.session import fan_out, scratch, written
 
 ROWS = 3
 BANDS = 80
@@ -94,15 +95,18 @@ def band_keys(flat: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            held = part.column(1)
-            owner = np.repeat(np.arange(part.num_rows), np.diff(held.offsets.to_numpy()))
-            key = band_keys(held.flatten().to_numpy().view(np.uint64), owner, part.num_rows)
-            ids = np.repeat(part.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(ids)], names=["bucket", "id"])
+def _bands(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.zeros(0, np.int64)]
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                held = part.column(1)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(held.offsets.to_numpy()))
+                keys.append(band_keys(held.flatten().to_numpy().view(np.uint64), owner, part.num_rows).reshape(-1))
+            yield buckets.pack(np.concatenate(keys), [np.repeat(batch.column(0).to_numpy(), BANDS)], groups)
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +173,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(held_keys, held_ids, np.zeros(len(held_keys), bool))
 
 
+def _pairs_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    return _buckets(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id"])]))
+
+
+def _members_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[1]), pa.nulls(len(columns[1]), pa.int64()), pa.array(columns[0])], names=["a", "b", "bucket"])
+
+
 def shared_runs(flat: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     """count x count: how many elements each two different sets have in common; the diagonal has no meaning."""
     order = np.argsort(flat, kind="stable")
@@ -238,8 +250,8 @@ def classes(sets: DataFrame) -> DataFrame:
 def similar_classes(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """a, b, similarity with a < b: the pairs of classes whose run sets have a Jaccard similarity of at least the threshold. sets holds one row per class."""
     parts = fan_out(sets, factor=4)
-    bands = sets.repartition(parts, "id").mapInArrow(_bands, "bucket bigint, id bigint")
-    met = written(bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets, "a bigint, b bigint, bucket bigint"))
+    bands = sets.repartition(parts, "id").mapInArrow(_bands(buckets.groups(parts)), buckets.form(2))
+    met = written(buckets.meet(bands, 2, parts, _pairs_of, _members_of, "a bigint, b bigint, bucket bigint"))
     edges = met.filter("bucket is null").select("a", "b").distinct()
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b"))
@@ -258,29 +270,46 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def _found(df: DataFrame, key: str, title: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    sets = written(run_sets(df, key, title, text))
-    member = written(classes(sets))
-    heads = sets.join(member.filter("id = class_id").select("id"), "id", "left_semi")
-    return member, written(similar_classes(heads, threshold))
+    with scratch() as keep:
+        sets = written(run_sets(df, key, title, text))
+        member = keep(classes(sets))
+        heads = sets.join(member.filter("id = class_id").select("id"), "id", "left_semi")
+        return member, keep(similar_classes(heads, threshold))
+
+
+def _expanded(member: DataFrame, links: DataFrame) -> DataFrame:
+    """id_a, id_b, each pair once in either order: the pairs within classes and across linked ones. Classes of many copies are cut into blocks of about BLOCK that meet pairwise, so no task holds a whole one."""
+    size = member.groupBy("class_id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(size.filter("blocks > 1").select("class_id", "blocks"), "class_id", "left")
+    held = dealt.select("id", "class_id", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"))
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # A link comes once for each block of its first class, then once for each of its second: members join by class and block.
+    same = size.filter("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    for side in "ab":
+        own = size.select(F.col("class_id").alias(side), blocks.alias(f"block_{side}"))
+        links, same = links.join(own, side), same.join(own, side)
+    same = same.filter("block_a <= block_b")
+    of_a, of_b = (held.select(F.col("id").alias(f"id_{x}"), F.col("class_id").alias(x), F.col("block").alias(f"block_{x}")) for x in "ab")
+    met = links.select("a", "b", "block_a", "block_b").unionByName(same).join(of_a, ["a", "block_a"]).join(of_b, ["b", "block_b"])
+    return met.filter("a <> b or block_a < block_b or id_a < id_b").select("id_a", "id_b")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, title: str, text: str, threshold: float = 0.5) -> DataFrame:
     """id_a, id_b with id_a < id_b: every pair of distinct records whose run sets are at least so similar, copies included.
 
     Records whose text is null or has fewer than 10 terms are in no pair; null keys are left out; repeated rows count once; an empty table gives no rows."""
-    member, links = _found(df, key, title, text, threshold)
-    of_a, of_b = (member.select(F.col("id").alias(f"id_{x}"), F.col("class_id").alias(x)) for x in "ab")
-    across = links.select("a", "b").join(of_a, "a").join(of_b, "b").select("id_a", "id_b")
-    within = of_a.join(of_b.withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select("id_a", "id_b")
-    return across.unionByName(within).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    with scratch() as keep:
+        pairs = _expanded(*_found(df, key, title, text, threshold))
+        return keep(pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
 
 
 def near_duplicate_classes(df: DataFrame, key: str, title: str, text: str, threshold: float = 0.5) -> DataFrame:
     """id, class_id, n_copies, n_links of each record with enough terms: its class of records with the same runs, the class's size, and to how many other classes it is linked.
 
     Nulls, short texts, repeated rows and empty tables as in near_duplicate_pairs."""
-    member, links = _found(df, key, title, text, threshold)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    size = member.groupBy("class_id").agg(F.count("*").alias("n_copies"))
-    per_class = size.join(degree, "class_id", "left").fillna(0, ["n_links"])
-    return member.join(per_class, "class_id").select("id", "class_id", "n_copies", "n_links")
+    with scratch() as keep:
+        member, links = _found(df, key, title, text, threshold)
+        degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+        size = member.groupBy("class_id").agg(F.count("*").alias("n_copies"))
+        per_class = size.join(degree, "class_id", "left").fillna(0, ["n_links"])
+        return keep(member.join(per_class, "class_id").select("id", "class_id", "n_copies", "n_links"))

@@ -207,6 +207,18 @@ def test_large_family(spark, monkeypatch, block):
     assert links == 2 * len(got)
 
 
+@pytest.mark.parametrize("most", [300, 1 << 20])
+def test_many_copies(spark, monkeypatch, most):
+    """Two linked classes of many copies, in blocks; groups of index entries too large for a task are dealt one by one."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 50)
+    monkeypatch.setattr(near_duplicates.buckets, "MOST", most)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base)] * 120 + [" ".join(base[:-3] + ["x", "y", "z"])] * 70 + [" ".join(f"v{k}{i}" for i in range(20)) for k in range(30)]
+    rows = [(i, None, t) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(frame(spark, rows), "id", "song", "texto").collect()]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(range(190), 2))
+
+
 def test_shared_runs():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(50)] + [np.array([7, 1000], np.uint64)]
