@@ -46,23 +46,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def term_hashes(words: list[str]) -> np.ndarray:
+    """64 bits of each term; a term that comes again is hashed once."""
+    known: dict[str, int] = {}
+    place = [known.setdefault(w, len(known)) for w in words]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))[place] if words else np.zeros(0, np.uint64)
+
+
+def run_hashes(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs, as 64-bit hashes, of texts given as the hashes of their terms with their text's number in order: texts' numbers and runs, sorted by both. A text shorter than n has none."""
+    count = max(0, len(hashes) - n + 1)
+    key = np.zeros(count, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            key = mixed(key * _MULTIPLIER + hashes[i : i + count])
+    whole = owner[:count] == owner[len(owner) - count :]  # all n terms are of one text
+    key, owner = key[whole], owner[:count][whole]
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])][: len(key)]
+    return owner[new], key[new]
+
+
 def runs(words: list[str], n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the sequences of n consecutive terms; a shorter text has none."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.array(sorted({digest(" ".join(words[i : i + n])) for i in range(len(words) - n + 1)}), np.uint64)
+    return run_hashes(term_hashes(words), np.zeros(len(words), np.int64), n)[1]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            kept, sets = [], []
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            kept, words, size = [], [], []
             for i, (title, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                words = terms(text)
-                if len(words) >= LEAST_TERMS:
+                own = terms(text)
+                if len(own) >= LEAST_TERMS:
+                    before = len(words)
+                    words += terms(title)  # a null title has none
+                    words += own
                     kept.append(i)
-                    sets.append(runs((terms(title) if title is not None else []) + words, RUN).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["id", "runs"])
+                    size.append(len(words) - before)
+            owner, key = run_hashes(term_hashes(words), np.repeat(np.arange(len(kept)), np.array(size, np.int64)), RUN)
+            offsets = np.searchsorted(owner, np.arange(len(kept) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))], names=["id", "runs"])
 
 
 def sketches(flat: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:

@@ -15,7 +15,7 @@ VECTORS = (("mfcc", "audio_mfcc", "mfccs", 25), ("sift", "imagen_sift", "sift",
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(extractor: str, name: str, column: str, dim: int) -> DataFrame:
-        found = similar_vectors.neighbours_above(table(spark, sf_dir, name), "vec_id", column, dim, k=10, least=0.996)
+        found = similar_vectors.neighbours_above(table(spark, sf_dir, name), "vec_id", column, dim, k=10, least=0.996, late=False)
         return similar_vectors.mutual_pairs(found).select(F.lit(extractor).alias("extractor"), "vec_a", "vec_b")
 
     return one(*VECTORS[0]).unionByName(one(*VECTORS[1]))

@@ -7,9 +7,12 @@ nearly the same direction, so codes of the directions themselves would tell them
 
 The code is split into substrings, each with its own index of buckets (centre, substring number, substring). By
 the pigeonhole principle two codes that differ in fewer bits than there are substrings agree in one of
-them, so reading each vector's own buckets retrieves every code within that radius, and most beyond. The
-substrings have about log2(n) bits, which keeps a bucket's expected size constant as n grows. Pairs that
-meet are thinned by the Hamming distance of 64 spread bits of the code, and cosines are worked out on the floats.
+them, so reading each vector's own buckets retrieves every code within that radius, and most beyond. How wide and how
+many the substrings are follows from the data: the sample tells which share of its bits a code changes on the way to a vector that is
+just similar enough, or as far as the k-th nearest (in a tight group more than among scattered vectors), and how often any two vectors agree in so
+many bits. Of the widths, each with as many substrings as reach RECALL at that distance, the cheapest for the number of
+vectors is taken. Pairs that meet are thinned by the Hamming distance of 64 spread bits of the code, by a radius found in the same way, and
+cosines are worked out on the floats.
 
 A vector lies in its nearest cell and in every other whose centre is hardly farther (by the distance of two
 vectors that are just similar enough), so that near vectors on two sides of a border always have a cell in common.
@@ -29,27 +32,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantera.llm import buckets
 from cantera.llm.near_duplicates import mixed
 from cantera.llm.vectors import matrix, sample, unit, usable
-from cantera.session import fan_out, written
+from cantera.session import fan_out, scratch, written
 
 #: Vectors that the model is learned on; the index holds all.
 SAMPLE = 16_384
 CELLS = 64
-SUBSTRINGS = 16
-#: Bits of 64 by which two codes may differ and still be compared on floats.
-SKETCH_RADIUS = 18
+#: Share of pairs at the least cosine that are to share a substring, and share of those that the sketch keeps.
+RECALL = 0.999
+SKETCHED = 0.9999
+WIDTHS = range(4, 33)
+#: Where the sample asks for more, as where all vectors are alike, the narrowest are taken.
+MOST_SUBSTRINGS = 512
+#: Cost of comparing two sketches, in index entries.
+COMPARED = 0.02
+#: Tasks over which the later copies of one vector are spread.
+SALT = 64
 #: Rows of a bucket that one task compares at once; beyond, the bucket is split into blocks that meet pairwise.
 BLOCK = 4096
 
 
 @dataclass
 class Codes:
-    """Centres (cells x dim), rotations (bits x dim) and how the code is cut."""
+    """Centres (cells x dim), rotations (bits x dim), how the code is cut, and the bits of 64 by which two sketches may differ."""
 
     centres: np.ndarray
     rotations: np.ndarray
     width: int
+    substrings: int
+    radius: int = 64
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """Distances of unit vectors to the centres."""
@@ -71,31 +84,99 @@ def centres_of(x: np.ndarray, cells: int, rng: np.random.Generator, rounds: int
     for _ in range(rounds):
         own = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
         size = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
+        member = np.zeros((len(x), len(centres)), np.float32)
+        member[np.arange(len(x)), own] = 1
+        sums = member.T @ x
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
     return centres
 
 
-def learn(x: np.ndarray, n: int, seed: int = 7) -> Codes:
-    """The model from a sample x of unit vectors, for n vectors in all."""
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of the bits of a random rotation in which the rows of a and b differ: their angle over pi."""
+    lengths = np.linalg.norm(a, axis=-1) * np.linalg.norm(b, axis=-1)
+    cos = np.divide((a * b).sum(-1), lengths, out=np.ones_like(lengths), where=lengths > 1e-12)
+    return np.arccos(np.clip(cos, -1, 1)) / math.pi
+
+
+def partners(x: np.ndarray, own: np.ndarray, cosine: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each row of x a unit vector with the given cosine to it: every other one towards a row of the same cell, the others anywhere."""
+    order = np.argsort(own, kind="stable")
+    other = x[order[np.minimum(np.searchsorted(own[order], own) + (rng.random(len(x)) * np.bincount(own)[own]).astype(int), len(x) - 1)]] - x
+    anywhere = rng.standard_normal(x.shape)
+    way = np.where((np.arange(len(x)) % 2 == 0)[:, None] & (np.linalg.norm(other, axis=1) > 1e-9)[:, None], other, anywhere)
+    way -= (way * x).sum(1, keepdims=True) * x
+    length = np.linalg.norm(way, axis=1, keepdims=True)
+    return cosine[:, None] * x + np.sqrt(np.maximum(0.0, 1 - cosine**2))[:, None] * np.divide(way, length, out=np.zeros_like(way), where=length > 1e-12)
+
+
+def farthest_wanted(x: np.ndarray, rows: np.ndarray, n: int, least: float, k: int) -> np.ndarray:
+    """The least cosine that one of the k most similar of n vectors has to some rows of the sample x, as far as the sample tells, but not below `least`."""
+    rank = min(len(x) - 1, max(1, math.ceil(k * len(x) / n)))
+    y, out = x.astype(np.float32), np.full(len(rows), least)
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        if rank:
+            cos = y[some] @ y.T
+            cos[np.arange(len(some)), some] = -2
+            out[at : at + 256] = np.maximum(least, np.minimum(-np.partition(-cos, rank - 1, axis=1)[:, rank - 1], 1 - 1e-6))
+    return out
+
+
+def cut(x: np.ndarray, centres: np.ndarray, n: int, least: float, k: int, rng: np.random.Generator) -> tuple[int, int, int]:
+    """Width and number of substrings, and the sketch's radius, for n vectors of which x is a sample."""
+    rows = rng.permutation(len(x))[:2048]
+    wanted = farthest_wanted(x, rows, n, least, k)
+    x = x[rows]
+    own = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+    rest = x - centres[own]
+    length = np.linalg.norm(rest, axis=1)
+    some = length > 1e-9  # else the vector is a centre
+    if not some.any():
+        return WIDTHS[0], 1, 64
+    changed = _apart(rest, partners(x, own, wanted, rng) - centres[own])[some]
+    rest, own, length = rest[some], own[some], length[some]
+    i, j = np.nonzero((own[:, None] == own) & ~np.eye(len(rest), dtype=bool))
+    alike = 1 - np.arccos(np.clip((rest @ rest.T)[i, j] / (length[i] * length[j]), -1, 1)) / math.pi
+    best, agree = (math.inf, WIDTHS[0], MOST_SUBSTRINGS), alike ** (WIDTHS[0] - 1)
+    for width in WIDTHS:
+        agree = agree * alike
+        meets = (1 - changed) ** width
+        number = 1
+        while number <= MOST_SUBSTRINGS and np.mean(1 - (1 - meets) ** number) < RECALL:
+            number += max(1, number // 16)
+        load = n * float(agree.sum()) / max(1, len(rest) * (len(rest) - 1))
+        cost = number * (1 + COMPARED * load)
+        if number <= MOST_SUBSTRINGS and cost < best[0]:
+            best = (cost, width, number)
+    # The share of sketches that differ in at most r bits, for r from 0 on: binomial.
+    chance, radius = (1 - changed) ** 64, 0
+    total = chance.copy()
+    while radius < 64 and np.mean(total) < SKETCHED:
+        radius += 1
+        chance = chance * (64 - radius + 1) / radius * changed / np.maximum(1 - changed, 1e-12)
+        total += chance
+    return best[1], best[2], radius
+
+
+def learn(x: np.ndarray, n: int, least: float = 0.996, k: int = 10, cells: int = CELLS, bits: int = 0, seed: int = 7) -> Codes:
+    """The model from a sample x of unit vectors, for n vectors in all, of which the k most similar of each with a cosine of at least `least` are to meet. With bits, a code of so many of them that isn't cut."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    width = int(min(24, max(10, round(math.log2(max(n, 2))))))
     if not len(x):
-        return Codes(np.zeros((1, dim)), rng.standard_normal((width * SUBSTRINGS, dim)), width)
-    centres = centres_of(x, CELLS, rng)
+        return Codes(np.zeros((1, dim)), rng.standard_normal((max(bits, 8), dim)), max(bits, 8), 1)
+    centres = centres_of(x, max(1, min(cells, len(x) // 16)), rng)
+    width, number, radius = (bits, 1, 64) if bits else cut(x, centres, n, least, k, rng)
     own = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
     rest = x - centres[own]
     rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-9)
     rotations = []
-    while len(rotations) * dim < width * SUBSTRINGS:
+    while len(rotations) * dim < width * number:
         r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        for _ in range(8):
+        for _ in range(8 if len(rotations) < 16 else 0):  # beyond, random ones do
             u, _, vt = np.linalg.svd(np.sign(rest @ r.T).T @ rest)
             r = u @ vt
         rotations.append(r)
-    return Codes(centres, np.vstack(rotations)[: width * SUBSTRINGS], width)
+    return Codes(centres, np.vstack(rotations)[: width * number], width, number, radius)
 
 
 def border_margin(least: float) -> float:
@@ -103,25 +184,28 @@ def border_margin(least: float) -> float:
     return math.sqrt(2 * max(0.0, 1 - least))
 
 
-def _indexed(codes: Codes, dim: int, margin: float):
+def _indexed(codes: Codes, dim: int, margin: float, groups: int):
     weights = (1 << np.arange(codes.width)).astype(np.int64)
-    spread = np.arange(64) * (codes.width * SUBSTRINGS) // 64
+    spread = np.arange(64) * (codes.width * codes.substrings) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            found = [(np.zeros(0, np.int64),) * 3]
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 x = unit(matrix(part.column(1), dim))
                 far = codes.nearest(x)
                 row, cell = np.nonzero(far <= far.min(1, keepdims=True) + margin)
                 bits = codes.bits(x[row], cell)
-                value = bits.reshape(len(row), SUBSTRINGS, codes.width) @ weights
+                value = bits.reshape(len(row), codes.substrings, codes.width) @ weights
                 with np.errstate(over="ignore"):
-                    place = (cell[:, None] * SUBSTRINGS + np.arange(SUBSTRINGS)).astype(np.uint64)
+                    place = (cell[:, None] * codes.substrings + np.arange(codes.substrings)).astype(np.uint64)
                     bucket = mixed(mixed(place) + value.astype(np.uint64))
                 sketch = np.ascontiguousarray(np.packbits(bits[:, spread], axis=1)).view(np.int64)[:, 0]
                 ids = part.column(0).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, SUBSTRINGS)), pa.array(np.repeat(sketch, SUBSTRINGS))], names=["bucket", "id", "sketch"])
+                found.append((bucket.reshape(-1).view(np.int64), np.repeat(ids, codes.substrings), np.repeat(sketch, codes.substrings)))
+            bucket, ids, sketch = (np.concatenate(c) for c in zip(*found))
+            yield buckets.pack(bucket, [ids, sketch], groups)
 
     return run
 
@@ -198,12 +282,20 @@ def _meeting(radius: int, limit: int):
     return run
 
 
+def _met(radius: int, limit: int):
+    meeting = _meeting(radius, limit)
+    return lambda columns: meeting(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "sketch"])]))
+
+
+def _singly(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "sketch"])
+
+
 def _candidates(heads: DataFrame, codes: Codes, dim: int, margin: float) -> DataFrame:
     """a, b: the distinct pairs of indexed vectors that meet in a bucket with close codes."""
-    parts = fan_out(heads, factor=4)
-    rows = heads.select("vec_id", "vec").mapInArrow(_indexed(codes, dim, margin), "bucket bigint, id bigint, sketch bigint")
-    met = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(SKETCH_RADIUS, BLOCK), "a bigint, b bigint, sketch bigint")
-    met = written(met)
+    parts = fan_out(heads, factor=codes.substrings / 4)
+    packs = heads.select("vec_id", "vec").mapInArrow(_indexed(codes, dim, margin, buckets.groups(parts)), buckets.form(3))
+    met = written(buckets.meet(packs, 3, parts, _met(codes.radius, BLOCK), _singly, "a bigint, b bigint, sketch bigint"))
     pairs = met.filter("sketch is null").select("a", "b")
     large = met.filter("sketch is not null").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "sketch")
     if not large.isEmpty():  # exact, in pairs of blocks: each task holds two blocks at most
@@ -212,7 +304,7 @@ def _candidates(heads: DataFrame, codes: Codes, dim: int, margin: float) -> Data
         mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         spread = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         keyed = spread.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "id", "sketch")
-        again = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(SKETCH_RADIUS, 1 << 62), "a bigint, b bigint, sketch bigint")
+        again = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(codes.radius, 1 << 62), "a bigint, b bigint, sketch bigint")
         pairs = pairs.unionByName(again.select("a", "b"))
     return pairs.distinct()
 
@@ -233,30 +325,48 @@ def _cosine_pairs(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "vec_a", "vec_b").mapInArrow(_cosines(dim), "a bigint, b bigint, cosine double")
 
 
+def _hashed(base: DataFrame) -> DataFrame:
+    """Equal vectors are told by two hashes of 64 bits."""
+    return base.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(17), F.reverse("vec")))
+
+
 def _few_copies(base: DataFrame, k: int) -> DataFrame:
-    """The k + 1 smallest ids of each vector, with their place; equal vectors are told by two hashes of 64 bits."""
-    hashed = base.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(17), F.reverse("vec")))
-    return hashed.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    """The k + 1 smallest ids of each vector, with their place."""
+    return _hashed(base).withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+
 
+def _later_copies(base: DataFrame, few: DataFrame, k: int) -> DataFrame:
+    """vec, other, cosine, rank of the copies after the k + 1 smallest ids of a vector: their k most similar are those with the k smallest ids. A mass of copies of one vector is spread over SALT tasks."""
+    rows = _hashed(base).select("vec_id", "h1", "h2", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)).alias("salt"))
+    full = few.filter(F.col("place") == k + 1).select("h1", "h2", F.col("vec_id").alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("salt"))
+    late = rows.join(full, ["h1", "h2", "salt"]).filter("vec_id > last").select("h1", "h2", "salt", F.col("vec_id").alias("vec"))
+    first = few.filter(F.col("place") <= k).join(full.select("h1", "h2", "salt"), ["h1", "h2"]).select("h1", "h2", "salt", F.col("vec_id").alias("other"), F.col("place").alias("rank"))
+    return late.join(first, ["h1", "h2", "salt"]).select("vec", "other", F.lit(1.0).alias("cosine"), "rank")
 
-def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = 0.996) -> DataFrame:
+
+def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10, least: float = 0.996, late: bool = True) -> DataFrame:
     """vec, other, cosine, rank: for each usable vector those of its k most similar others that have a cosine of at least `least`.
 
-    Ties go to the smaller id. Of more than k + 1 copies of a vector, those with the smallest ids have rows.
+    Ties go to the smaller id. Without late, the copies of a vector after the k + 1 smallest ids have no rows: they are in nobody's list.
     Null keys and unusable vectors are left out, repeated rows count once, other columns are ignored; an empty table gives no rows."""
-    every = written(_few_copies(usable(df, key, vector, dim), k), fan_out(df, 2))
-    heads = every.filter("place = 1")
-    codes = learn(sample(heads, SAMPLE, dim), heads.count())
-    margin = border_margin(least)
-    near = _cosine_pairs(_candidates(heads, codes, dim, margin), heads, dim).filter(F.col("cosine") >= least)
-    # From heads to the copies that take part.
-    member = written(every.withColumn("head", F.min("vec_id").over(Window.partitionBy("h1", "h2"))).select("vec_id", "head"))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    of_a, of_b = member.select(F.col("vec_id").alias("vec"), F.col("head").alias("a")), member.select(F.col("vec_id").alias("other"), F.col("head").alias("b"))
-    across = both.join(of_a, "a").join(of_b, "b").select("vec", "other", "cosine")
-    within = of_a.join(of_b.withColumnRenamed("b", "a"), "a").filter("vec <> other").select("vec", "other", F.lit(1.0).alias("cosine"))
-    order = Window.partitionBy("vec").orderBy(F.desc("cosine"), "other")
-    return across.unionByName(within).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    with scratch() as keep:
+        base = usable(df, key, vector, dim)
+        if late:
+            base = written(base, fan_out(df, 2))
+        every = written(_few_copies(base, k), None if late else fan_out(df, 2))
+        heads = every.filter("place = 1")
+        n = heads.count()
+        codes = learn(sample(heads, SAMPLE, dim, n), n, least, k)
+        near = _cosine_pairs(_candidates(heads, codes, dim, border_margin(least)), heads, dim).filter(F.col("cosine") >= least)
+        # From heads to the copies that take part.
+        member = written(every.withColumn("head", F.min("vec_id").over(Window.partitionBy("h1", "h2"))).select("vec_id", "head"))
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+        of_a, of_b = member.select(F.col("vec_id").alias("vec"), F.col("head").alias("a")), member.select(F.col("vec_id").alias("other"), F.col("head").alias("b"))
+        across = both.join(of_a, "a").join(of_b, "b").select("vec", "other", "cosine")
+        within = of_a.join(of_b.withColumnRenamed("b", "a"), "a").filter("vec <> other").select("vec", "other", F.lit(1.0).alias("cosine"))
+        order = Window.partitionBy("vec").orderBy(F.desc("cosine"), "other")
+        found = across.unionByName(within).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return keep(found.unionByName(_later_copies(base, every, k)) if late else found)
 
 
 def mutual_pairs(found: DataFrame) -> DataFrame:
@@ -266,11 +376,18 @@ def mutual_pairs(found: DataFrame) -> DataFrame:
 
 # --- the k nearest of given queries, however far ---
 
-#: Cells that a query looks into, codes of each block that are compared on floats, and rows of a block.
+#: Bits of a whole code, cells that a query looks into at the first NEAR_CELLS cells, codes of each block that are compared on floats, and rows of a block.
+CODE_BITS = 256
+NEAR_CELLS = 64
 PROBES = 16
 SHORTLIST = 200
-CELL_BLOCK = 8192
-QUERY_BLOCK = 4096
+CELL_BLOCK = 32768
+
+
+def cells_for(n: int) -> tuple[int, int]:
+    """How many cells n vectors have and how many of them a query looks into. Both grow, the cells with the square root of n and the probes with that of the cells, so the part that a query reads shrinks; the sample bounds the cells to a sixteenth of it."""
+    cells = int(min(SAMPLE // 16, max(NEAR_CELLS, math.sqrt(n) / 8)))
+    return cells, round(PROBES * math.sqrt(cells / NEAR_CELLS))
 
 
 def _coded(codes: Codes, dim: int, probes: int):
@@ -278,78 +395,99 @@ def _coded(codes: Codes, dim: int, probes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                x = unit(matrix(part.column(1), dim))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = matrix(part.column(1), dim)
+                x = unit(raw)
                 far = codes.nearest(x)
                 near = np.argsort(far, axis=1, kind="stable")[:, :probes]
                 row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.reshape(-1)
                 packed = np.packbits(codes.bits(x[row], cell), axis=1)
-                vec = part.column(1).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), pa.array([c.tobytes() for c in packed], pa.binary()), vec], names=["cell", "vec_id", "code", "vec"])
+                floats = np.ascontiguousarray(raw[row].astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), _rows(packed), _rows(floats.view(np.uint8))], names=["cell", "vec_id", "code", "vec"])
 
     return run
 
 
-def _best_of_block(k: int, dim: int, shortlist: int):
-    import pandas as pd
+def _rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _bytes(column: pa.Array, width: int, kind) -> np.ndarray:
+    """Equally long binary values as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
 
-    def words(codes) -> np.ndarray:
-        raw = np.stack([np.frombuffer(c, np.uint8) for c in codes])
-        return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+def _best_of_blocks(k: int, dim: int, shortlist: int):
+    """Rows come by cell and block, the block's vectors (asked = 0) before the queries that look into it: a task holds one block, queries stream by."""
 
-    def run(_, queries, data):
-        empty = pd.DataFrame({"vec": [], "other": [], "cosine": []}).astype({"vec": "int64", "other": "int64", "cosine": "float64"})
-        if not len(queries) or not len(data):
-            return empty
-        q, d = words(queries["code"]), words(data["code"])
-        qv, dv = np.stack(queries["vec"].to_list()).astype(np.float64), np.stack(data["vec"].to_list()).astype(np.float64)
-        qn, dn = np.sqrt((qv * qv).sum(1)), np.sqrt((dv * dv).sum(1))
-        q_ids, d_ids = queries["vec_id"].to_numpy(), data["vec_id"].to_numpy()
-        out, keep = [], min(shortlist, len(d_ids))
-        for at in range(0, len(q), 64):
+    def answer(block: tuple, ids: np.ndarray, code: np.ndarray, vec: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        d_ids, d_code, d_vec = block
+        keep = min(shortlist, len(d_ids))
+        for at in range(0, len(ids), 64):
             some = slice(at, at + 64)
-            apart = np.zeros((len(q[some]), len(d)), np.uint16)
-            for w in range(d.shape[1]):
-                apart += np.bitwise_count(q[some, w, None] ^ d[None, :, w])
+            apart = np.zeros((len(ids[some]), len(d_ids)), np.uint16)
+            for w in range(d_code.shape[1]):
+                apart += np.bitwise_count(code[some, w, None] ^ d_code[None, :, w])
             near = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
-            row = np.repeat(np.arange(at, at + len(near)), keep)
-            near = near.reshape(-1)
-            cosine = np.round(np.einsum("ij,ij->i", qv[row], dv[near]) / (qn[row] * dn[near]), 12)
-            found = pd.DataFrame({"vec": q_ids[row], "other": d_ids[near], "cosine": cosine})
-            found = found[found["vec"] != found["other"]].sort_values(["vec", "cosine", "other"], ascending=[True, False, True])
-            out.append(found.groupby("vec").head(k))
-        return pd.concat(out) if out else empty
+            q, d = vec[some].astype(np.float64), d_vec[near].astype(np.float64)
+            cosine = np.round(np.einsum("qd,qnd->qn", q, d) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=2)), 12)
+            cosine[d_ids[near] == ids[some, None]] = -np.inf  # itself
+            order = np.lexsort((d_ids[near], -cosine), axis=1)[:, :k]
+            best, other = np.take_along_axis(cosine, order, 1), d_ids[np.take_along_axis(near, order, 1)]
+            row, column = np.nonzero(best > -np.inf)
+            yield ids[some][row], other[row, column], best[row, column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, parts, block = None, [], None
+        for batch in batches:
+            cell, number, asked, ids = (batch.column(c).to_numpy() for c in range(4))
+            if not len(ids):
+                continue
+            words = len(batch.column(4)[0].as_py()) // 8
+            code, vec = _bytes(batch.column(4), words, np.uint64), _bytes(batch.column(5), dim, np.float32)
+            new = np.r_[True, (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (asked[1:] != asked[:-1])]
+            start = np.flatnonzero(new)
+            out = []
+            for a, b in zip(start, np.r_[start[1:], len(ids)]):
+                if (cell[a], number[a]) != place:
+                    place, parts, block = (cell[a], number[a]), [], None
+                if not asked[a]:
+                    parts.append((ids[a:b], code[a:b], vec[a:b]))
+                elif parts or block:
+                    block = block or tuple(np.concatenate(c) for c in zip(*parts))
+                    parts = []
+                    out += answer(block, ids[a:b], code[a:b], vec[a:b])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["vec", "other", "cosine"])
 
     return run
 
 
 def nearest_of(df: DataFrame, key: str, vector: str, dim: int, every_nth: int = 100, k: int = 10) -> DataFrame:
-    """vec, other, cosine, rank: the k most similar others of each usable vector whose id is divisible by every_nth, among all usable vectors.
+    """vec, other, cosine, rank: the k most similar others of each usable vector whose id is divisible by every_nth (1: of every vector), among all usable vectors.
 
     A radius of many bits would have the substrings' buckets probed almost all, so here a query looks through the whole codes of its
-    PROBES nearest cells, block by block, and compares the SHORTLIST nearest codes of each block on floats. Cells with many rows are cut into blocks,
-    many queries likewise, so no task holds more than one block of each. Ties go to the smaller id; of more than k + 1 copies of a
+    nearest cells, block by block, and compares the SHORTLIST nearest codes of each block on floats. Each vector is sent once, to its cell and block; cells with many
+    rows are cut into blocks, and the queries that look into a block stream by it, so no task holds more than one block. Ties go to the smaller id; of more than k + 1 copies of a
     vector the smallest ids are found. Null keys, unusable vectors, repeated rows and empty tables as in neighbours_above."""
-    base = written(usable(df, key, vector, dim), fan_out(df, 2))
-    every = written(_few_copies(base, k).select("vec_id", "vec"), fan_out(df, 2))
-    asked = base.filter(F.col("vec_id") % every_nth == 0)
-    codes = learn(sample(every, SAMPLE, dim), every.count())
-    form = "cell int, vec_id bigint, code binary, vec array<float>"
-    data = written(every.select("vec_id", "vec").mapInArrow(_coded(codes, dim, 1), form))
-    counted = [tuple(r) for r in data.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks")).collect()]  # at most CELLS rows
-
-    def blocks() -> DataFrame:
-        return F.broadcast(df.sparkSession.createDataFrame(counted, "cell int, blocks int"))
-
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.join(blocks(), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-
-    queries = asked.select("vec_id", "vec").mapInArrow(_coded(codes, dim, PROBES), form).join(blocks(), "cell")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-    names = ["cell", "block", "part"]
-    met = queries.groupBy(*names).cogroup(dealt(data).groupBy(*names)).applyInPandas(_best_of_block(k, dim, SHORTLIST), "vec bigint, other bigint, cosine double")
-    order = Window.partitionBy("vec").orderBy(F.desc("cosine"), "other")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    with scratch() as keep:
+        base = written(usable(df, key, vector, dim), fan_out(df, 2))
+        every = written(_few_copies(base, k).select("vec_id", "vec"), fan_out(df, 2))
+        n = every.count()
+        cells, probes = cells_for(n)
+        codes = learn(sample(every, SAMPLE, dim, n), n, cells=cells, bits=CODE_BITS)
+        form = "cell int, vec_id bigint, code binary, vec binary"
+        data = written(every.mapInArrow(_coded(codes, dim, 1), form))
+        blocks = written(data.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks")))  # at most SAMPLE / 16 rows
+        dealt = data.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        asked = base.filter(F.col("vec_id") % every_nth == 0).mapInArrow(_coded(codes, dim, probes), form).join(F.broadcast(blocks), "cell")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        columns = ["cell", "block", "asked", "vec_id", "code", "vec"]
+        met = dealt.withColumn("asked", F.lit(0)).select(*columns).unionByName(asked.withColumn("asked", F.lit(1)).select(*columns))
+        met = met.repartition(fan_out(df, 4), "cell", "block").sortWithinPartitions("cell", "block", "asked")
+        found = met.mapInArrow(_best_of_blocks(k, dim, SHORTLIST), "vec bigint, other bigint, cosine double")
+        order = Window.partitionBy("vec").orderBy(F.desc("cosine"), "other")
+        return keep(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))

@@ -29,7 +29,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def sample(df: DataFrame, most: int, dim: int) -> np.ndarray:
-    """At most `most` unit vectors, chosen by a hash of their id: the same for any partitioning, and of bounded size."""
-    rows = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec").toArrow()
+def sample(df: DataFrame, most: int, dim: int, n: int) -> np.ndarray:
+    """At most `most` unit vectors of the n in df, chosen by a hash of their id: the same for any partitioning, and of bounded size.
+
+    Only vectors below a bound of the hash, about twice as many as wanted, go into the choice."""
+    turn = F.xxhash64("vec_id")
+    rows = df if n <= 4 * most else df.filter(turn < int(-(2**63) + 2**64 * (2 * most / n)))
+    rows = rows.orderBy(turn, "vec_id").limit(most).select("vec").toArrow()
     return unit(matrix(rows.column(0), dim)) if rows.num_rows else np.zeros((0, dim))

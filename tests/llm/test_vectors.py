@@ -51,9 +51,10 @@ def test_usable(spark):
     assert sorted(r["vec_id"] for r in usable(df, "vec_id", "v", 4).collect()) == [1, 2]
 
 
-@pytest.mark.parametrize("block", [4, 4096])
-def test_mutual_neighbours(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, most", [(4, 1 << 20), (4096, 1 << 20), (4, 100)])
+def test_mutual_neighbours(spark, monkeypatch, block, most):
     monkeypatch.setattr(similar_vectors, "BLOCK", block)  # with small blocks, buckets are split and meet block by block
+    monkeypatch.setattr(similar_vectors.buckets, "MOST", most)
     x = grouped()
     want, _ = brute(x)
     df = table(spark, x, dirty(20) + [(1, [float(v) for v in x[0][1]])])
@@ -67,7 +68,7 @@ def test_near_vectors_share_a_cell():
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((64, 8))
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    codes = similar_vectors.Codes(centres, np.zeros((1, 8)), 1)
+    codes = similar_vectors.Codes(centres, np.zeros((1, 8)), 1, 1)
     x = rng.standard_normal((100_000, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     off = rng.standard_normal(x.shape)
@@ -82,9 +83,47 @@ def test_near_vectors_share_a_cell():
     assert apart(margin) == 0 and apart(margin / 2) > 0
 
 
+def test_later_copies(spark):
+    """Of 30 copies each has the 10 smallest other ids, also those that are in nobody's list; without late they have no rows."""
+    x = [(i, np.arange(20) + 1) for i in range(1, 31)] + [(100 + i, r) for i, (_, r) in enumerate(grouped()[:50])]
+    found = {late: {} for late in (True, False)}
+    for late, rows in found.items():
+        for r in similar_vectors.neighbours_above(table(spark, x), "vec_id", "v", 20, late=late).collect():
+            rows.setdefault(r["vec"], []).append((r["rank"], r["other"]))
+    for i in range(1, 31):
+        assert [o for _, o in sorted(found[True][i])] == [j for j in range(1, 31) if j != i][:10]
+    assert max(i for i in found[False] if i < 100) == 11 and {i: sorted(v) for i, v in found[False].items()} == {i: sorted(v) for i, v in found[True].items() if i in found[False]}
+
+
+@pytest.mark.parametrize("dim", [25, 128])
+@pytest.mark.parametrize("n", [300_000, 100_000_000])
+def test_tight_groups_share_substrings(dim, n):
+    """In tight groups codes change more bits on the way to a similar vector: the substrings follow, whatever the number of vectors."""
+    rng = np.random.default_rng(1)
+    c = rng.standard_normal((40, dim))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    for noise in (0.05, 0.15):
+        x = c[rng.integers(40, size=8192)] + rng.standard_normal((8192, dim)) * noise / (np.sqrt(dim) if noise < 0.1 else 1)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        codes = similar_vectors.learn(x, n, 0.996)
+        a = x[:1000]
+        off = rng.standard_normal(a.shape)
+        off -= (off * a).sum(1, keepdims=True) * a
+        cos = np.maximum(0.9962, similar_vectors.farthest_wanted(x, np.arange(1000), n, 0.996, 10))[:, None]
+        b = cos * a + np.sqrt(1 - cos**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+        margin = similar_vectors.border_margin(0.996)
+        far_a, far_b = codes.nearest(a), codes.nearest(b)
+        both = (far_a <= far_a.min(1, keepdims=True) + margin) & (far_b <= far_b.min(1, keepdims=True) + margin)
+        found = np.zeros(len(a), bool)
+        for cell in range(len(codes.centres)):
+            r = np.flatnonzero(both[:, cell])
+            code = [codes.bits(v[r], np.full(len(r), cell)).reshape(len(r), codes.substrings, codes.width) for v in (a, b)]
+            found[r] |= (code[0] == code[1]).all(2).any(1)
+        assert found.mean() >= 0.99
+
+
 def test_nearest_of(spark, monkeypatch):
     monkeypatch.setattr(similar_vectors, "CELL_BLOCK", 50)
-    monkeypatch.setattr(similar_vectors, "QUERY_BLOCK", 7)
     x = grouped(seed=1)
     _, top = brute(x)
     rows = similar_vectors.nearest_of(table(spark, x, dirty(20)), "vec_id", "v", 20, every_nth=10).collect()
