@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cantera.llm import buckets
 from cantera.llm.near_duplicates import mixed
-from cantera.llm.vectors import matrix, sample, unit, usable
+from cantera.llm.vectors import matrix, packed, sample, unit, unpacked, usable
 from cantera.session import fan_out, scratch, written
 
 #: Vectors that the model is learned on; the index holds all.
@@ -402,24 +402,12 @@ def _coded(codes: Codes, dim: int, probes: int):
                 far = codes.nearest(x)
                 near = np.argsort(far, axis=1, kind="stable")[:, :probes]
                 row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.reshape(-1)
-                packed = np.packbits(codes.bits(x[row], cell), axis=1)
-                floats = np.ascontiguousarray(raw[row].astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), _rows(packed), _rows(floats.view(np.uint8))], names=["cell", "vec_id", "code", "vec"])
+                code = np.packbits(codes.bits(x[row], cell), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), packed(code), packed(raw[row].astype(np.float32))], names=["cell", "vec_id", "code", "vec"])
 
     return run
 
 
-def _rows(x: np.ndarray) -> pa.Array:
-    """The rows of a matrix of bytes."""
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
-
-
-def _bytes(column: pa.Array, width: int, kind) -> np.ndarray:
-    """Equally long binary values as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
-
-
 def _best_of_blocks(k: int, dim: int, shortlist: int):
     """Rows come by cell and block, the block's vectors (asked = 0) before the queries that look into it: a task holds one block, queries stream by."""
 
@@ -447,7 +435,7 @@ def _best_of_blocks(k: int, dim: int, shortlist: int):
             if not len(ids):
                 continue
             words = len(batch.column(4)[0].as_py()) // 8
-            code, vec = _bytes(batch.column(4), words, np.uint64), _bytes(batch.column(5), dim, np.float32)
+            code, vec = unpacked(batch.column(4), words, np.uint64), unpacked(batch.column(5), dim)
             new = np.r_[True, (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (asked[1:] != asked[:-1])]
             start = np.flatnonzero(new)
             out = []

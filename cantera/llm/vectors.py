@@ -25,6 +25,25 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes, which cost the JVM one copy where a list costs one for each number."""
+    raw = np.ascontiguousarray(x)
+    offsets = np.arange(len(raw) + 1, dtype=np.int32) * (raw.itemsize * raw.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float32) -> np.ndarray:
+    """Rows of bytes, all of `width` numbers, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(column):
+        return np.zeros((0, width), kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, width)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 

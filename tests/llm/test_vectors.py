@@ -178,8 +178,9 @@ def test_small_clusters(spark, monkeypatch):
     """Clusters of 10 among noise that seeds don't hit: the drawn ones are few here, as they are in a large table."""
     monkeypatch.setattr(clusters, "K", 2)
     monkeypatch.setattr(clusters, "OVERSAMPLE", 2)
-    monkeypatch.setattr(clusters, "REST_BLOCK", 700, raising=False)
-    monkeypatch.setattr(clusters, "START_BLOCK", 300, raising=False)
+    monkeypatch.setattr(clusters, "REST_BLOCK", 700)
+    monkeypatch.setattr(clusters, "START_BLOCK", 300)
+    monkeypatch.setattr(clusters, "FEW", 20)
     rng = np.random.default_rng(5)
     dim, noise = 60, rng.standard_normal((1500, 60))
     planted = []
@@ -201,6 +202,34 @@ def test_small_clusters(spark, monkeypatch):
     assert len(want) >= 10 and {frozenset(v) for v in found.values()} == want
 
 
+def test_many_clusters(spark):
+    """600 clusters of 10, far more than centroids, in more dimensions than features: all that keep both bounds come out."""
+    rng = np.random.default_rng(11)
+    dim, groups = clusters.FEATURES + 44, 600
+    c = rng.standard_normal((groups, dim))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    v = np.vstack([np.repeat(c, 10, axis=0) + rng.standard_normal((10 * groups, dim)) * 0.03, rng.standard_normal((300, dim))])
+    u = np.float32(v).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for g in range(groups):
+        own = np.arange(10 * g, 10 * g + 10)
+        cos = u @ (u[own].mean(0) / np.linalg.norm(u[own].mean(0)))
+        if cos[own].min() >= 0.8 and np.delete(cos, own).max() < 0.6:
+            want.add(frozenset((own + 1).tolist()))
+    found = {}
+    for r in clusters.similarity_clusters(table(spark, [(i + 1, r) for i, r in enumerate(np.float32(v))]), "vec_id", "v", dim).collect():
+        found.setdefault(r["cluster_id"], set()).add(r["vec_id"])
+    assert len(want) >= 500 and {frozenset(m) for m in found.values()} == want
+
+
+def test_highest():
+    x = np.random.default_rng(3).standard_normal((20, 5000)).astype(np.float32)
+    for columns in (9, 300, 2001, 5000):
+        top = clusters.highest(x[:, :columns], 7)
+        assert (np.sort(np.take_along_axis(x, top, 1)) == np.sort(x[:, :columns])[:, -7:]).all()
+
+
 def test_hashed_features():
     x = np.random.default_rng(0).standard_normal((5, 1000))
     f = clusters.hashed_features(x)
