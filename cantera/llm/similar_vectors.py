@@ -11,11 +11,12 @@ them, so reading each vector's own buckets retrieves every code within that radi
 many the substrings are follows from the data: the sample tells which share of its bits a code changes on the way to a vector that is
 just similar enough, or as far as the k-th nearest (in a tight group more than among scattered vectors), and how often any two vectors agree in so
 many bits. Of the widths, each with as many substrings as reach RECALL at that distance, the cheapest for the number of
-vectors is taken. Pairs that meet are thinned by the Hamming distance of 64 spread bits of the code, by a radius found in the same way, and
+vectors is taken. Pairs that meet are thinned by the Hamming distance of SKETCH spread bits of the code, by a radius found in the same way, and
 cosines are worked out on the floats.
 
-A vector lies in its nearest cell and in every other whose centre is hardly farther (by the distance of two
-vectors that are just similar enough), so that near vectors on two sides of a border always have a cell in common.
+A vector is at home in its nearest cell, and visits every other one when half the distance of two
+vectors that are just similar enough takes it over the border, the plane between the two centres. The way between two such vectors with different homes crosses
+that plane, so one of them is as near to it as that and visits the other's home: near vectors always meet, at the home of at least one of them, and visitors need not meet each other.
 
 Copies: of the vectors with equal elements only the k + 1 smallest ids take part, as no vector can
 have more of them among its k most similar when ties go to the smaller id; one of them is indexed.
@@ -46,8 +47,11 @@ SKETCHED = 0.9999
 WIDTHS = range(4, 33)
 #: Where the sample asks for more, as where all vectors are alike, the narrowest are taken.
 MOST_SUBSTRINGS = 512
-#: Cost of comparing two sketches, in index entries.
-COMPARED = 0.02
+#: Costs of comparing two sketches, and of a pair that goes on to the floats, in index entries.
+COMPARED = 0.01
+JOINED = 6
+#: Bits of a sketch; one more tells whether the vector is at home in the cell.
+SKETCH = 127
 #: Tasks over which the later copies of one vector are spread.
 SALT = 64
 #: Rows of a bucket that one task compares at once; beyond, the bucket is split into blocks that meet pairwise.
@@ -56,13 +60,20 @@ BLOCK = 4096
 
 @dataclass
 class Codes:
-    """Centres (cells x dim), rotations (bits x dim), how the code is cut, and the bits of 64 by which two sketches may differ."""
+    """Centres (cells x dim), rotations (bits x dim), how the code is cut, and the bits by which two sketches may differ."""
 
     centres: np.ndarray
     rotations: np.ndarray
     width: int
     substrings: int
-    radius: int = 64
+    radius: int = SKETCH
+
+    def homes(self, x: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
+        """The home of each unit vector, and (vectors x cells) where it is at home or visits, for vectors that meet up to `apart` from each other."""
+        square = (self.centres**2).sum(1) - 2 * (x @ self.centres.T)
+        home = square.argmin(1)
+        gaps = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)
+        return home, square - square[np.arange(len(x)), home][:, None] <= apart * gaps[home] + 1e-9
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """Distances of unit vectors to the centres."""
@@ -132,29 +143,31 @@ def cut(x: np.ndarray, centres: np.ndarray, n: int, least: float, k: int, rng: n
     length = np.linalg.norm(rest, axis=1)
     some = length > 1e-9  # else the vector is a centre
     if not some.any():
-        return WIDTHS[0], 1, 64
+        return WIDTHS[0], 1, SKETCH
     changed = _apart(rest, partners(x, own, wanted, rng) - centres[own])[some]
     rest, own, length = rest[some], own[some], length[some]
     i, j = np.nonzero((own[:, None] == own) & ~np.eye(len(rest), dtype=bool))
     alike = 1 - np.arccos(np.clip((rest @ rest.T)[i, j] / (length[i] * length[j]), -1, 1)) / math.pi
-    best, agree = (math.inf, WIDTHS[0], MOST_SUBSTRINGS), alike ** (WIDTHS[0] - 1)
+    # The share of sketches that differ in at most r bits, for r from 0 on: binomial.
+    chance, radius = (1 - changed) ** SKETCH, 0
+    total = chance.copy()
+    while radius < SKETCH and np.mean(total) < SKETCHED:
+        radius += 1
+        chance = chance * (SKETCH - radius + 1) / radius * changed / np.maximum(1 - changed, 1e-12)
+        total += chance
+    off = (radius + 0.5 - SKETCH * (1 - alike)) / np.sqrt(np.maximum(SKETCH * alike * (1 - alike), 1e-9))
+    kept = 1 / (1 + np.exp(np.clip(-1.702 * off, -50, 50)))  # any two that the sketch keeps
+    best, agree, two = (math.inf, WIDTHS[0], MOST_SUBSTRINGS), alike ** (WIDTHS[0] - 1), max(1, len(rest) * (len(rest) - 1))
     for width in WIDTHS:
         agree = agree * alike
         meets = (1 - changed) ** width
         number = 1
         while number <= MOST_SUBSTRINGS and np.mean(1 - (1 - meets) ** number) < RECALL:
             number += max(1, number // 16)
-        load = n * float(agree.sum()) / max(1, len(rest) * (len(rest) - 1))
-        cost = number * (1 + COMPARED * load)
+        joined = n * float((kept * (1 - (1 - agree) ** number)).sum()) / two
+        cost = number * (1 + COMPARED * n * float(agree.sum()) / two) + JOINED * joined
         if number <= MOST_SUBSTRINGS and cost < best[0]:
             best = (cost, width, number)
-    # The share of sketches that differ in at most r bits, for r from 0 on: binomial.
-    chance, radius = (1 - changed) ** 64, 0
-    total = chance.copy()
-    while radius < 64 and np.mean(total) < SKETCHED:
-        radius += 1
-        chance = chance * (64 - radius + 1) / radius * changed / np.maximum(1 - changed, 1e-12)
-        total += chance
     return best[1], best[2], radius
 
 
@@ -165,58 +178,61 @@ def learn(x: np.ndarray, n: int, least: float = 0.996, k: int = 10, cells: int =
     if not len(x):
         return Codes(np.zeros((1, dim)), rng.standard_normal((max(bits, 8), dim)), max(bits, 8), 1)
     centres = centres_of(x, max(1, min(cells, len(x) // 16)), rng)
-    width, number, radius = (bits, 1, 64) if bits else cut(x, centres, n, least, k, rng)
+    width, number, radius = (bits, 1, SKETCH) if bits else cut(x, centres, n, least, k, rng)
     own = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
     rest = x - centres[own]
     rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-9)
     rotations = []
-    while len(rotations) * dim < width * number:
+    many = bits or max(width * number, SKETCH)
+    while len(rotations) * dim < many:
         r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         for _ in range(8 if len(rotations) < 16 else 0):  # beyond, random ones do
             u, _, vt = np.linalg.svd(np.sign(rest @ r.T).T @ rest)
             r = u @ vt
         rotations.append(r)
-    return Codes(centres, np.vstack(rotations)[: width * number], width, number, radius)
+    return Codes(centres, np.vstack(rotations)[:many], width, number, radius)
 
 
 def border_margin(least: float) -> float:
-    """The distance of unit vectors with a cosine of `least`: of two that are no farther apart, one lies in the other's nearest cell when cells reach so far."""
+    """The distance of unit vectors with a cosine of `least`."""
     return math.sqrt(2 * max(0.0, 1 - least))
 
 
 def _indexed(codes: Codes, dim: int, margin: float, groups: int):
     weights = (1 << np.arange(codes.width)).astype(np.int64)
-    spread = np.arange(64) * (codes.width * codes.substrings) // 64
+    spread = np.arange(SKETCH) * len(codes.rotations) // SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(np.zeros(0, np.int64),) * 3]
+            found = [(np.zeros(0, np.int64),) * 4]
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 x = unit(matrix(part.column(1), dim))
-                far = codes.nearest(x)
-                row, cell = np.nonzero(far <= far.min(1, keepdims=True) + margin)
+                home, visits = codes.homes(x, margin)
+                row, cell = np.nonzero(visits)
                 bits = codes.bits(x[row], cell)
-                value = bits.reshape(len(row), codes.substrings, codes.width) @ weights
+                value = bits[:, : codes.substrings * codes.width].reshape(len(row), codes.substrings, codes.width) @ weights
                 with np.errstate(over="ignore"):
                     place = (cell[:, None] * codes.substrings + np.arange(codes.substrings)).astype(np.uint64)
                     bucket = mixed(mixed(place) + value.astype(np.uint64))
-                sketch = np.ascontiguousarray(np.packbits(bits[:, spread], axis=1)).view(np.int64)[:, 0]
+                sketch = np.ascontiguousarray(np.packbits(np.c_[bits[:, spread], home[row] == cell], axis=1)).view(">u8").astype(np.int64)
                 ids = part.column(0).to_numpy()[row]
-                found.append((bucket.reshape(-1).view(np.int64), np.repeat(ids, codes.substrings), np.repeat(sketch, codes.substrings)))
-            bucket, ids, sketch = (np.concatenate(c) for c in zip(*found))
-            yield buckets.pack(bucket, [ids, sketch], groups)
+                found.append((bucket.reshape(-1).view(np.int64), *(np.repeat(c, codes.substrings) for c in (ids, sketch[:, 0], sketch[:, 1]))))
+            bucket, *rest = (np.concatenate(c) for c in zip(*found))
+            yield buckets.pack(bucket, rest, groups)
 
     return run
 
 
 def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+    """Sketches (..., 2) that differ in few bits, one of them of a vector at home."""
+    apart = (a ^ b).view(np.uint64)
+    return (np.bitwise_count(apart[..., 0]) + np.bitwise_count(apart[..., 1] & ~np.uint64(1)) <= radius) & ((a[..., 1] | b[..., 1]) & 1 == 1)
 
 
 def _pairs_within(ids: np.ndarray, sketch: np.ndarray, radius: int) -> Iterator[np.ndarray]:
     """Pairs of a bucket whose sketches are close, a stretch of rows against all later ones."""
-    step = max(1, (1 << 20) // len(ids))
+    step = max(1, (1 << 19) // len(ids))
     for at in range(0, len(ids) - 1, step):
         head = np.arange(at, min(at + step, len(ids)))
         i, j = np.nonzero(_close(sketch[head][:, None], sketch[None, at:], radius))
@@ -225,7 +241,7 @@ def _pairs_within(ids: np.ndarray, sketch: np.ndarray, radius: int) -> Iterator[
 
 
 def _meeting(radius: int, limit: int):
-    """Of rows sorted by bucket: the close pairs of each bucket; of a bucket of more than `limit` rows its rows instead (a: bucket, b: id, sketch)."""
+    """Of rows sorted by bucket: the close pairs of each bucket; of a bucket of more than `limit` rows its rows instead (a: bucket, b: id, sketch in two numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []  # of the open bucket
@@ -234,14 +250,16 @@ def _meeting(radius: int, limit: int):
         def out(pairs: list[np.ndarray], rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
             p = np.unique(np.sort(p[p[:, 0] != p[:, 1]], axis=1), axis=0)
-            k, i, s = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-            sketch = pa.array(np.r_[np.zeros(len(p), np.int64), s], mask=np.r_[np.ones(len(p), bool), np.zeros(len(s), bool)])
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[p[:, 0], k]), pa.array(np.r_[p[:, 1], i]), sketch], names=["a", "b", "sketch"])
+            k, i, s = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
+            mask = np.r_[np.ones(len(p), bool), np.zeros(len(s), bool)]
+            sketch = [pa.array(np.r_[np.zeros(len(p), np.int64), s[:, w]], mask=mask) for w in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[p[:, 0], k]), pa.array(np.r_[p[:, 1], i]), *sketch], names=["a", "b", "s1", "s2"])
 
         for batch in batches:
-            bucket, ids, sketch = (batch.column(c).to_numpy() for c in range(3))
+            bucket, ids = (batch.column(c).to_numpy() for c in range(2))
             if not len(ids):
                 continue
+            sketch = np.stack([batch.column(c).to_numpy() for c in (2, 3)], 1)
             pairs, rows = [], []
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             end = np.r_[start[1:], len(bucket)]
@@ -251,7 +269,7 @@ def _meeting(radius: int, limit: int):
                 first = start[inner[size[inner] == g]]
                 if g == 1:
                     continue
-                if g > 32:
+                if g > 64:
                     for f in first:
                         if g > limit:
                             rows.append((bucket[f : f + g], ids[f : f + g], sketch[f : f + g]))
@@ -259,16 +277,18 @@ def _meeting(radius: int, limit: int):
                             pairs += _pairs_within(ids[f : f + g], sketch[f : f + g], radius)
                     continue
                 i, j = np.triu_indices(g, 1)
-                a, b = first[:, None] + i, first[:, None] + j
-                near = _close(sketch[a], sketch[b], radius)
-                pairs.append(np.stack([ids[a[near]], ids[b[near]]], 1))
+                step = max(1, (1 << 19) // len(i))
+                for at in range(0, len(first), step):
+                    a, b = first[at : at + step, None] + i, first[at : at + step, None] + j
+                    near = _close(sketch[a], sketch[b], radius)
+                    pairs.append(np.stack([ids[a[near]], ids[b[near]]], 1))
             for n in dict.fromkeys((0, len(start) - 1)):  # these may go on in other batches
-                cut = slice(start[n], end[n])
+                part = slice(start[n], end[n])
                 if bucket[start[n]] != key:
                     if kept and not over:
                         pairs += _pairs_within(np.concatenate([x[1] for x in kept]), np.concatenate([x[2] for x in kept]), radius)
                     kept, count, over, key = [], 0, False, bucket[start[n]]
-                kept.append((bucket[cut], ids[cut], sketch[cut]))
+                kept.append((bucket[part], ids[part], sketch[part]))
                 count += end[n] - start[n]
                 over = over or count > limit
                 if over:
@@ -282,29 +302,32 @@ def _meeting(radius: int, limit: int):
     return run
 
 
+_MET = "a bigint, b bigint, s1 bigint, s2 bigint"
+
+
 def _met(radius: int, limit: int):
     meeting = _meeting(radius, limit)
-    return lambda columns: meeting(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "sketch"])]))
+    return lambda columns: meeting(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "s1", "s2"])]))
 
 
 def _singly(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "s1", "s2"])
 
 
 def _candidates(heads: DataFrame, codes: Codes, dim: int, margin: float) -> DataFrame:
     """a, b: the distinct pairs of indexed vectors that meet in a bucket with close codes."""
     parts = fan_out(heads, factor=codes.substrings / 4)
-    packs = heads.select("vec_id", "vec").mapInArrow(_indexed(codes, dim, margin, buckets.groups(parts)), buckets.form(3))
-    met = written(buckets.meet(packs, 3, parts, _met(codes.radius, BLOCK), _singly, "a bigint, b bigint, sketch bigint"))
-    pairs = met.filter("sketch is null").select("a", "b")
-    large = met.filter("sketch is not null").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "sketch")
+    packs = heads.select("vec_id", "vec").mapInArrow(_indexed(codes, dim, margin, buckets.groups(parts)), buckets.form(4))
+    met = written(buckets.meet(packs, 4, parts, _met(codes.radius, BLOCK), _singly, _MET))
+    pairs = met.filter("s1 is null").select("a", "b")
+    large = met.filter("s1 is not null").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "s1", "s2")
     if not large.isEmpty():  # exact, in pairs of blocks: each task holds two blocks at most
         half = BLOCK // 4  # blocks are cut by hash and may turn out larger than they should
         sized = large.join(large.groupBy("bucket").agg(F.ceil(F.count("*") / half).cast("int").alias("blocks")), "bucket")
         mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         spread = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keyed = spread.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "id", "sketch")
-        again = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(codes.radius, 1 << 62), "a bigint, b bigint, sketch bigint")
+        keyed = spread.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "id", "s1", "s2")
+        again = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(codes.radius, 1 << 62), _MET)
         pairs = pairs.unionByName(again.select("a", "b"))
     return pairs.distinct()
 

@@ -64,7 +64,7 @@ def test_mutual_neighbours(spark, monkeypatch, block, most):
 
 
 def test_near_vectors_share_a_cell():
-    """Pairs just similar enough on two sides of a border: all have a cell in common, with half the margin some have none."""
+    """Pairs just similar enough on two sides of a border: one of them is at the other's home, with half the reach some are not."""
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((64, 8))
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
@@ -74,10 +74,12 @@ def test_near_vectors_share_a_cell():
     off = rng.standard_normal(x.shape)
     off -= (off * x).sum(1, keepdims=True) * x
     y = 0.996 * x + np.sqrt(1 - 0.996**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
-    a, b = codes.nearest(x), codes.nearest(y)
 
     def apart(margin):
-        return (~((a <= a.min(1, keepdims=True) + margin) & (b <= b.min(1, keepdims=True) + margin)).any(1)).sum()
+        (home_x, x_at), (home_y, y_at) = codes.homes(x, margin), codes.homes(y, margin)
+        row = np.arange(len(x))
+        assert x_at[row, home_x].all() and y_at[row, home_y].all()
+        return (~(x_at[row, home_y] | y_at[row, home_x])).sum()
 
     margin = similar_vectors.border_margin(0.996)
     assert apart(margin) == 0 and apart(margin / 2) > 0
@@ -112,12 +114,13 @@ def test_tight_groups_share_substrings(dim, n):
         cos = np.maximum(0.9962, similar_vectors.farthest_wanted(x, np.arange(1000), n, 0.996, 10))[:, None]
         b = cos * a + np.sqrt(1 - cos**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
         margin = similar_vectors.border_margin(0.996)
-        far_a, far_b = codes.nearest(a), codes.nearest(b)
-        both = (far_a <= far_a.min(1, keepdims=True) + margin) & (far_b <= far_b.min(1, keepdims=True) + margin)
+        (home_a, at_a), (home_b, at_b) = codes.homes(a, margin), codes.homes(b, margin)
+        cells = np.arange(len(codes.centres))
+        both = at_a & at_b & ((home_a[:, None] == cells) | (home_b[:, None] == cells))
         found = np.zeros(len(a), bool)
         for cell in range(len(codes.centres)):
             r = np.flatnonzero(both[:, cell])
-            code = [codes.bits(v[r], np.full(len(r), cell)).reshape(len(r), codes.substrings, codes.width) for v in (a, b)]
+            code = [codes.bits(v[r], np.full(len(r), cell))[:, : codes.substrings * codes.width].reshape(len(r), codes.substrings, codes.width) for v in (a, b)]
             found[r] |= (code[0] == code[1]).all(2).any(1)
         assert found.mean() >= 0.99
 
