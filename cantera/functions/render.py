@@ -20,3 +20,11 @@ def similarity_percent(distance: Column) -> Column:
     """A cosine distance as a percentage with 4 decimals, 100 above 99.9999 and 0 below 0.0001; null stays null."""
     p = (1 - distance) * 100
     return F.when(p > 99.9999, 100.0).when(p < 0.0001, 0.0).otherwise(F.round(p, 4))
+
+
+def percent(distance: float | None) -> float | None:
+    """similarity_percent of one value."""
+    if distance is None:
+        return None
+    p = (1 - distance) * 100
+    return 100.0 if p > 99.9999 else 0.0 if p < 0.0001 else round(p, 4)

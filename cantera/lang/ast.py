@@ -130,8 +130,14 @@ class Result:
     data: Any = None
     count: int | None = None
     error: str | None = None
+    seconds: float | None = None
     extra: dict[str, Any] = field(default_factory=dict)
 
+    @property
+    def column_types(self) -> dict[str, str]:
+        """Names and types of a SELECT's columns."""
+        return {} if self.data is None else {f.name: f.dataType.simpleString() for f in self.data.schema}
+
     def rows(self, array_as_text: bool = False) -> list[dict]:
         if self.data is None:
             return []

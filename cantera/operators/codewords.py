@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed defaults of the search over the inverted index, of the codebook and of results.
@@ -26,12 +30,30 @@ def fit_codebook(rows: DataFrame, k: int, seed: int = 42, iterations: int = 20):
     return KMeans(k=k, seed=seed, maxIter=iterations).fit(rows.select(array_to_vector("descriptor").alias("features")))
 
 
-def histograms(rows: DataFrame, model) -> DataFrame:
-    """doc, word, n: how often each word of the codebook is the nearest to a document's descriptors."""
-    from pyspark.ml.functions import array_to_vector
+def centroids_of(model, spark: SparkSession) -> DataFrame:
+    """word, centroid of a k-means model."""
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "word int, centroid array<double>")
+
+
+def codebook(centroids: DataFrame) -> np.ndarray:
+    """The centroids (word, centroid; words from 0 on) as a matrix: as many rows as the codebook has words."""
+    rows = centroids.orderBy("word").collect()
+    return np.array([r["centroid"] for r in rows], np.float64).reshape(len(rows), -1)
+
+
+def word_histograms(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """doc, word, n: how often each centroid is the nearest, by Euclidean distance and ties to the first, to a document's descriptors; descriptors of another length are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, words.shape[1]))
+            nearest = np.concatenate([((words**2).sum(1) - 2 * x[at : at + 4096] @ words.T).argmin(1) for at in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nearest.astype(np.int32))], names=["doc", "word"])
 
-    words = model.transform(rows.select("doc", array_to_vector("descriptor").alias("features"))).select("doc", F.col("prediction").alias("word"))
-    return words.groupBy("doc", "word").agg(F.count("*").cast("double").alias("n"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    fitting = rows.filter(F.size("descriptor") == words.shape[1] if len(words) else F.lit(False))
+    return fitting.select("doc", "descriptor").mapInArrow(run, f"doc {kind}, word int").groupBy("doc", "word").agg(F.count("*").cast("double").alias("n"))
 
 
 def word_idf(counts: DataFrame) -> DataFrame:

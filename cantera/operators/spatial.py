@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def coordinates(column: str | Column, n: int) -> list[Column]:
-    c = F.col(column) if isinstance(column, str) else column
+    c = F.col(f"`{column}`") if isinstance(column, str) else column
     return [F.get(c, F.lit(i)).cast("double") for i in range(n)]
 
 
@@ -22,12 +23,18 @@ def distance(column: str | Column, point: Sequence[float]) -> Column:
     return F.sqrt(total)
 
 
+def in_box(coords: Sequence[Column], point: Sequence[float], radius: float) -> Column:
+    """Plain comparisons that hold for every point at most radius away. On stored coordinates they reach the scan."""
+    reach = radius + 1e-9 * max(1.0, radius, *(abs(float(p)) for p in point))
+    box = F.lit(True)
+    for c, p in zip(coords, point):
+        box = box & c.between(float(p) - reach, float(p) + reach)
+    return box
+
+
 def within(column: str | Column, point: Sequence[float], radius: float) -> Column:
     """Predicate: at most radius away, bound included. The bounding box comes first, as plain comparisons."""
-    box = F.lit(True)
-    for c, p in zip(coordinates(column, len(point)), point):
-        box = box & c.between(p - radius, p + radius)
-    return box & (distance(column, point) <= radius)
+    return in_box(coordinates(column, len(point)), point, radius) & (distance(column, point) <= radius)
 
 
 def same_point(column: str | Column, point: Sequence[float], epsilon: float = 1e-9) -> Column:
@@ -37,17 +44,34 @@ def same_point(column: str | Column, point: Sequence[float], epsilon: float = 1e
     return close
 
 
+def box_distance(low: Sequence[float], high: Sequence[float], point: Sequence[float]) -> float:
+    """The least distance from a point to a box, a rounding error too small at most."""
+    total = math.sqrt(sum(max(a - p, 0.0, p - b) ** 2 for a, b, p in zip(low, high, point)))
+    return total * (1 - 1e-9) - 1e-12
+
+
 def within_radius(df: DataFrame, column: str, point: Sequence[float], radius: float) -> DataFrame:
     """The rows at most radius from the point; null points are in no result."""
     return df.filter(within(column, point, radius))
 
 
+def _measured(df: DataFrame, column: str, point: Sequence[float], name: str) -> DataFrame:
+    return df.withColumn(name, distance(column, point)).filter(F.col(name).isNotNull() & ~F.isnan(name))
+
+
+def kth_distance(df: DataFrame, column: str, point: Sequence[float], k: int) -> tuple[int, float]:
+    """How many of the k nearest rows there are, and the distance of the last; a bounded heap in each task."""
+    best = _measured(df, column, point, "__d").select("__d").orderBy("__d").limit(max(k, 0))
+    n, last = best.agg(F.count("*"), F.max("__d")).first()
+    return n, -1.0 if last is None else last
+
+
 def nearest(df: DataFrame, column: str, point: Sequence[float], k: int, ties: bool = True, distance_name: str = "_distance", tie_break: Sequence[str] = ()) -> DataFrame:
     """The k rows nearest to the point with their distance, and with ties all rows as near as the k-th.
 
     Two passes that each are a filter or a top-k: the k-th distance is found by a bounded heap in each task, then rows up to it are
     kept. Nothing is sorted as a whole. Without ties, rows at the same distance are chosen by tie_break. Null points and k < 1 give no rows."""
-    measured = df.withColumn(distance_name, distance(column, point)).filter(F.col(distance_name).isNotNull() & ~F.isnan(distance_name))
+    measured = _measured(df, column, point, distance_name)
     if k < 1:
         return measured.limit(0)
     best = measured.orderBy(distance_name, *tie_break).limit(k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cantera.lang import ast
 from cantera.operators import spatial
-from cantera.sources.catalog import Table
+from cantera.sources.catalog import DataFile, Table, coordinates_of
 
 
 class BindProblem(ValueError):
@@ -19,22 +19,25 @@ class BindProblem(ValueError):
 
 
 NUMBERS, STRINGS = {"INT", "BIGINT", "FLOAT"}, {"VARCHAR", "TEXT", "IMAGE", "AUDIO"}
+#: Rows of a search's result that are sent to every task.
+BROADCAST_ROWS = 1000
 
 
 class Binder:
-    """leaf(condition, limit) gives the rows of a text or similarity search: key, and _score or _distance."""
+    """Conditions over `base`, rows of the table. leaf(condition, limit) gives the rows of a text or similarity search: key, and _score or _distance; kth(column, point, k) the distance of the k-th nearest row of the whole table, negative if there is none."""
 
-    def __init__(self, table: Table, base: DataFrame, leaf: Callable[[ast.Condition, int | None], DataFrame], strict: bool = True):
+    def __init__(self, table: Table, base: DataFrame, leaf: Callable[[ast.Condition, int | None], DataFrame], strict: bool = True, kth: Callable[[str, tuple, int], float] | None = None):
         self.table, self.base, self.leaf, self.strict = table, base, leaf, strict
+        self.kth = kth or (lambda column, point, k: spatial.kth_distance(base, column, point, k)[1])
         self.searches: list[DataFrame] = []
 
     def bind(self, condition: ast.Condition | None, limit: int | None = None) -> DataFrame:
         """The rows that meet the condition. A search for nearest or best rows looks at the whole table, whatever it is combined with; a limit goes into it only when it stands alone."""
         if condition is None:
             return self.base
-        if isinstance(condition, (ast.Nearest, ast.TextMatch, ast.Similar)):
-            found = self._search(condition, limit)
-            return self.base.join(found, self.table.key)
+        if isinstance(condition, (ast.TextMatch, ast.Similar)):
+            self.table.column(condition.column)
+            return self.base.join(F.broadcast(self.leaf(condition, limit)) if limit is not None and limit <= BROADCAST_ROWS else self.leaf(condition, limit), self.table.key)
         predicate = self.predicate(condition)
         df = self.base
         for i, found in enumerate(self.searches):
@@ -46,14 +49,7 @@ class Binder:
             held = [F.col(f"__{name}_{i}") for i, found in enumerate(self.searches) if name in found.columns]
             if held:
                 df = df.withColumn(name, F.coalesce(*held))
-        return df.drop(*[c for c in df.columns if c.startswith("__")])
-
-    def _search(self, c: ast.Condition, limit: int | None) -> DataFrame:
-        column = self.table.column(c.column)
-        if isinstance(c, ast.Nearest):
-            self._point(column, c.point)
-            return spatial.nearest(self.base, c.column, c.point, c.k).select(self.table.key, F.col("_distance").alias("__near")).drop("__near")
-        return self.leaf(c, limit)
+        return df.drop(*[f"__{c}_{i}" for i, found in enumerate(self.searches) for c in (*found.columns, "hit")])
 
     def predicate(self, c: ast.Condition) -> Column:
         if isinstance(c, ast.Both):
@@ -61,12 +57,16 @@ class Binder:
         if isinstance(c, ast.Either):
             return self.predicate(c.left) | self.predicate(c.right)
         column = self.table.column(c.column)
-        if isinstance(c, (ast.Nearest, ast.TextMatch, ast.Similar)):
-            self.searches.append(self._search(c, None))
+        if isinstance(c, (ast.TextMatch, ast.Similar)):
+            self.searches.append(self.leaf(c, None))
             return F.coalesce(F.col(f"__hit_{len(self.searches) - 1}"), F.lit(False))
-        if isinstance(c, ast.Radius):
+        if isinstance(c, (ast.Radius, ast.Nearest)):
             self._point(column, c.point)
-            return spatial.within(F.col(f"`{c.column}`"), c.point, c.radius)
+            # The k nearest with their ties are the rows within the k-th's distance: a predicate like any other.
+            radius = c.radius if isinstance(c, ast.Radius) else self.kth(c.column, c.point, c.k)
+            stored = coordinates_of(column) if column in self.table.points else []
+            box = spatial.in_box([F.col(f"`{n}`") for n in stored], c.point, radius) if set(stored) <= set(self.base.columns) else F.lit(True)
+            return box & spatial.within(c.column, c.point, radius)
         if isinstance(c, ast.Between):
             self._ordered(column, "BETWEEN")
             return self._cell(column).between(self._literal(column, c.low), self._literal(column, c.high))
@@ -75,6 +75,40 @@ class Binder:
         cell, value = self._cell(column), self._literal(column, c.value)
         return {"=": cell == value, "!=": cell != value, "<": cell < value, "<=": cell <= value, ">": cell > value, ">=": cell >= value}[c.op]
 
+    def may_match(self, c: ast.Condition | None, f: DataFile) -> bool:
+        """Whether a file with these bounds can hold a row that meets the condition."""
+        if isinstance(c, ast.Both):
+            return self.may_match(c.left, f) and self.may_match(c.right, f)
+        if isinstance(c, ast.Either):
+            return self.may_match(c.left, f) or self.may_match(c.right, f)
+        if c is None or c.column not in f.bounds or isinstance(c, (ast.TextMatch, ast.Similar)):
+            return True
+        n, low, high = f.bounds[c.column]
+        if not n:
+            return False
+        if isinstance(c, (ast.Radius, ast.Nearest)):
+            radius = c.radius if isinstance(c, ast.Radius) else self.kth(c.column, c.point, c.k)
+            return spatial.box_distance(low, high, c.point) <= radius
+        column = self.table.column(c.column)
+        if column.type == "ARRAY":
+            return True
+        first, last = (c.low, c.high) if isinstance(c, ast.Between) else (c.value, c.value)
+        first, last = (v.isoformat() if isinstance(v, datetime.date) else v for v in (coerce(column, first, exact=False), coerce(column, last, exact=False)))
+        if isinstance(c, ast.Between):
+            return first <= high and last >= low
+        return {"=": low <= first <= high, "!=": True, "<": low < first, "<=": low <= first, ">": high > first, ">=": high >= first}[c.op]
+
+    def check(self, c: ast.Condition | None) -> None:
+        """Raises what predicate() would, without looking at any row."""
+        if c is None:
+            return
+        kth, leaf, searches = self.kth, self.leaf, self.searches
+        self.kth, self.leaf, self.searches = (lambda *_: 0.0), (lambda *_: self.base), []
+        try:
+            self.predicate(c)
+        finally:
+            self.kth, self.leaf, self.searches = kth, leaf, searches
+
     def _ordered(self, column: ast.ColumnDef, op: str) -> None:
         if self.strict and column.index and column.index.kind == "HASH":
             raise BindProblem(f"{op} on {column.name}: a HASH index doesn't support ranges")
@@ -106,6 +140,8 @@ def coerce(column: ast.ColumnDef, value: Any, exact: bool = True) -> Any:
         if column.type == "FLOAT":
             return float(value)
         if exact:
+            if value != int(value):
+                raise ValueError("not a whole number")
             value = int(value)
             if column.type == "INT" and not -(2**31) <= value < 2**31:
                 raise ValueError("out of the range of INT")
@@ -119,6 +155,8 @@ def coerce(column: ast.ColumnDef, value: Any, exact: bool = True) -> Any:
             raise TypeError("not an array")
         if len(value) != column.size:
             raise ValueError(f"needs {column.size} elements")
+        if column.element == "INT" and any(isinstance(x, str) or x != int(x) for x in value):
+            raise ValueError("not whole numbers")
         kind = {"INT": int, "FLOAT": float, "DATE": datetime.date.fromisoformat}[column.element]
         return [kind(x) for x in value]
     if not isinstance(value, str):

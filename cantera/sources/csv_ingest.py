@@ -15,14 +15,20 @@ class EmptyFile(ValueError):
     """The CSV file has no rows."""
 
 
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes over a line break: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as trimmed strings; null and empty cells are ''."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", mode="PERMISSIVE")
+    """All columns as trimmed strings; null and empty cells are ''. Files are read in splits, but for those with line breaks in cells, which are a task each."""
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=has_line_breaks(spark, path), encoding="UTF-8", mode="PERMISSIVE")
     return raw.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip()) for c in raw.columns])
 
 
-def infer(df: DataFrame, key: str, indexes: dict[str, Index]) -> list[ColumnDef]:
-    """The narrowest of INT, FLOAT, VARCHAR that fits every non-empty cell, ARRAY when all are '(…,…)'; a column without any is VARCHAR[1]."""
+def infer(df: DataFrame, key: str, indexes: dict[str, Index]) -> tuple[list[ColumnDef], int]:
+    """The columns' types, and how many rows there are: the narrowest of INT, FLOAT, VARCHAR that fits every non-empty cell, ARRAY when all are '(…,…)'; a column without any is VARCHAR[1]."""
 
     def every(c: str, pattern: str) -> Column:
         cell = F.col(f"`{c}`")
@@ -46,7 +52,7 @@ def infer(df: DataFrame, key: str, indexes: dict[str, Index]) -> list[ColumnDef]
             columns.append(ColumnDef(c, "INT" if whole else "FLOAT", **common))
         else:
             columns.append(ColumnDef(c, "VARCHAR", max(1, int(1.1 * (longest or 0))), **common))
-    return columns
+    return columns, rows
 
 
 def typed(df: DataFrame, columns: list[ColumnDef]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from cantera.engine import Engine
+from cantera.session import scratch, written
 
 
 def append_stream(engine: Engine, name: str, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -13,8 +14,10 @@ def append_stream(engine: Engine, name: str, stream: DataFrame, checkpoint: str,
     t = engine.catalog.get(name)
 
     def batch(rows: DataFrame, _: int) -> None:
-        new = rows.dropDuplicates([t.key]).join(engine.catalog.read(t).select(t.key), t.key, "left_anti")
-        engine.catalog.write(t, new, "append")
+        with scratch():
+            new = written(rows.dropDuplicates([t.key]))
+            new = new.join(engine.catalog.read(t, engine._overlapping(t, new)).select(t.key), t.key, "left_anti")
+            engine.catalog.append(t, new)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
