@@ -329,21 +329,21 @@ class Engine:
         weights = media.build_index(found.select(F.col("external_id").cast(key_type).alias("key"), "descriptors").filter("key is not null"), "key", f"{self.catalog.root}/media/{prefix}", k or codewords.CLUSTERS[kind])
         return weights.select("doc").distinct().count()
 
-    def register_media(self, name: str, column: str, descriptors: DataFrame, k: int | None = None, queries: DataFrame | None = None, seed: int = 42) -> int:
-        """Builds the index from descriptors (path, descriptors: array of arrays) of the files in a table's IMAGE or AUDIO column; queries may hold those of further files. How many documents it has."""
+    def register_media(self, name: str, column: str, descriptors: DataFrame, k: int | None = None, queries: DataFrame | None = None, seed: int = 42, centroids: DataFrame | None = None) -> int:
+        """Builds the index from descriptors (path, descriptors: array of arrays) of the files in a table's IMAGE or AUDIO column; queries may hold those of further files. centroids (word, centroid) are a codebook that is known. How many documents it has."""
         t = self.catalog.get(name)
         c = t.column(column)
         options = dict(c.index.options) if c.index else {}
         keyed = self.catalog.read(t).select(F.col(f"`{t.key}`").alias("key"), F.col(f"`{column}`").alias("path")).join(descriptors, "path")
-        n = self._indexed(t, c, keyed, k or options.get("clusters") or options.get("k"), seed)
+        n = self._indexed(t, c, keyed, k or options.get("clusters") or options.get("k"), seed, centroids)
         known = descriptors.select("path", "descriptors")
         known = known if queries is None else known.unionByName(queries.select("path", "descriptors"))
         known.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{self.catalog.path(t)}/described-{column}")
         return n
 
-    def _indexed(self, t: Table, c: ast.ColumnDef, keyed: DataFrame, k: int | None, seed: int = 42) -> int:
+    def _indexed(self, t: Table, c: ast.ColumnDef, keyed: DataFrame, k: int | None, seed: int = 42, centroids: DataFrame | None = None) -> int:
         path = self.media_path(t, c.name)
-        weights = media.build_index(keyed, "key", path, int(k or codewords.CLUSTERS.get(c.type, 500)), seed)
+        weights = media.build_index(keyed, "key", path, int(k or codewords.CLUSTERS.get(c.type, 500)), seed, centroids)
         t.media[c.name] = path
         self.catalog.save()
         return weights.select("doc").distinct().count()

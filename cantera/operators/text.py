@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cantera.functions.stemmer import STOP_STEMS, stem
+from cantera.session import scratch, written
 
 
 def tokens(text: Column) -> Column:
@@ -31,11 +32,12 @@ def _stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def term_counts(df: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
-    """doc, term, tf. Stems are worked out once per distinct token. Null keys and documents without terms have no rows."""
+    """doc, term, tf. Stems are worked out once per distinct token; tokens are counted once and kept for that. Null keys and documents without terms have no rows."""
     raw = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     if not stemmed:
         return raw
-    known = raw.select("term").distinct().withColumn("stem", _stems("term")).filter("stem is not null")
+    raw = written(raw)
+    known = written(raw.select("term").distinct().withColumn("stem", _stems("term")).filter("stem is not null"))
     return raw.join(known, "term").groupBy("doc", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
@@ -65,9 +67,11 @@ class TextIndex:
     @classmethod
     def build(cls, df: DataFrame, key: str, text: str, stemmed: bool = True, path: str | None = None) -> "TextIndex":
         """From a table; with a path kept as Parquet, in order of terms so that a query reads few row groups."""
-        postings = term_counts(df, key, text, stemmed)
-        if path:
-            postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        if not path:
+            postings = term_counts(df, key, text, stemmed)
+        else:
+            with scratch():
+                term_counts(df, key, text, stemmed).repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
             postings = df.sparkSession.read.parquet(f"{path}/postings")
         terms = inverse_frequency(postings, document_count(df, key, text))
         if path:

@@ -127,14 +127,15 @@ def collection(spark: SparkSession, folder: str, kind: str, id_from_filename: bo
     return extract(media_files(spark, folder, kind, id_from_filename), kind, given).select("external_id", "path", "descriptors")
 
 
-def build_index(media: DataFrame, key: str, path: str, k: int, seed: int = 42) -> DataFrame:
+def build_index(media: DataFrame, key: str, path: str, k: int, seed: int = 42, centroids: DataFrame | None = None) -> DataFrame:
     """The index of codewords of media (the key, descriptors), built as one batch job and kept below path: centroids, idf, weights. How many documents there are is told by the DataFrame of their weights, which is returned.
 
-    Null and empty lists of descriptors give no document."""
+    Null and empty lists of descriptors give no document. centroids: a codebook that is known; else one of k words is learned."""
     spark = media.sparkSession
     with scratch():
         rows = written(codewords.descriptor_rows(media, key, "descriptors"))
-        centroids = codewords.centroids_of(codewords.fit_codebook(rows, int(k), seed), spark)
+        if centroids is None:
+            centroids = codewords.centroids_of(codewords.fit_codebook(rows, int(k), seed), spark)
         centroids.write.mode("overwrite").parquet(f"{path}/centroids")
         counts = written(codewords.word_histograms(rows, codewords.codebook(centroids)))
         codewords.word_idf(counts).write.mode("overwrite").parquet(f"{path}/idf")
