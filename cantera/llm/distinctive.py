@@ -1,8 +1,9 @@
 """How distinctive a term is of a record (problem 6).
 
 Postings come in the vertical layout (terms.containers): they meet the corpus totals of their term as one
-row per term, chunk and batch, so a term that a third of all records hold is spread over many rows and is
-never gathered. Two scores are worked out on the containers' flat arrays:
+row per term, chunk and batch. The totals of terms with at least a HEAVY-th of all postings, at most HEAVY terms therefore, go to
+every task, so the containers of a term that a third of all records hold stay where they are and are
+never gathered; those of rarer terms meet their totals by a join. Two scores are worked out on the containers' flat arrays:
 
 enrichment: with M term occurrences in the corpus, K of this term and n in the record, the number of this
 term in the record is hypergeometric if terms were dealt at random. p is the exact probability of the count
@@ -14,6 +15,7 @@ tfidf: tf * (ln((N + 1) / (df + 1)) + 1).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,11 @@ from pyspark.sql import functions as F
 
 from cantera.llm.frequency import totals
 from cantera.llm.terms import ANY, CHUNK_BITS, containers
-from cantera.session import fan_out, written
+from cantera.session import fan_out, scratch, written
+
+
+#: Terms whose totals may be sent to every task.
+HEAVY = 10_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -96,9 +102,13 @@ def _scored(df: DataFrame, key: str, text: str, how: str) -> DataFrame:
     found = written(containers(df, key, text))
     per_term = totals(found, parts)
     every = per_term.filter(F.col("term") == ANY).select(F.col("n_records").alias("with_terms"), F.col("n_occurrences").alias("every"))  # one row at most
-    postings = found.filter(F.col("term") != ANY).join(per_term.filter(F.col("term") != ANY), "term").join(F.broadcast(every))
-    postings = postings.select("term", "chunk", "numbers", "counts", "lengths", "n_records", "n_occurrences", "with_terms", "every")
-    return postings.mapInArrow(_scores(how), "key bigint, term string, tf int, df bigint, score double")
+    of_terms, held = per_term.filter(F.col("term") != ANY), found.filter(F.col("term") != ANY)
+    postings = of_terms.agg(F.sum("n_records")).first()[0] or 0
+    heavy = F.col("n_records") >= postings / HEAVY
+    many = held.join(F.broadcast(of_terms.filter(heavy)), "term")
+    few = held.join(F.broadcast(of_terms.filter(heavy).select("term")), "term", "left_anti").join(of_terms.filter(~heavy), "term")
+    columns = ["term", "chunk", "numbers", "counts", "lengths", "n_records", "n_occurrences", "with_terms", "every"]
+    return many.unionByName(few).join(F.broadcast(every)).select(*columns).mapInArrow(_scores(how), "key bigint, term string, tf int, df bigint, score double")
 
 
 def characteristic_terms(df: DataFrame, key: str, text: str, top: int = 3) -> DataFrame:
@@ -106,6 +116,11 @@ def characteristic_terms(df: DataFrame, key: str, text: str, top: int = 3) -> Da
 
     Null keys are left out, records without terms give no rows, repeated rows count once; an empty table gives no rows."""
     order = Window.partitionBy("key").orderBy(F.desc("score"), "term")
+    with scratch() as keep:
+        return keep(_best(df, key, text, top, order))
+
+
+def _best(df: DataFrame, key: str, text: str, top: int, order) -> DataFrame:
     # A record delivered again has equal rows, which get equal ranks: dense_rank, then one of each.
     ranked = _scored(df, key, text, "tfidf").withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= top)
     return ranked.dropDuplicates(["key", "term"])
@@ -116,6 +131,11 @@ def enriched_terms(df: DataFrame, key: str, text: str, top: int = 3, most_false:
 
     score is -log10 of the probability adjusted within the record (a record's terms are the tests). Ties go to the
     term first in alphabetical order. Null keys, texts without terms, repeated rows and empty tables as in characteristic_terms."""
+    with scratch() as keep:
+        return keep(_enriched(df, key, text, top, most_false))
+
+
+def _enriched(df: DataFrame, key: str, text: str, top: int, most_false: float) -> DataFrame:
     rows = _scored(df, key, text, "enrichment").dropDuplicates(["key", "term"])
     record = Window.partitionBy("key")
     tests = F.count("*").over(record)
@@ -124,6 +144,4 @@ def enriched_terms(df: DataFrame, key: str, text: str, top: int = 3, most_false:
     from_worst = record.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scored = adjusted.withColumn("score", F.greatest(F.lit(0.0), -F.min("raw").over(from_worst) / F.log(F.lit(10.0))))
     ranked = scored.withColumn("rank", F.row_number().over(record.orderBy(F.desc("score"), F.col("raw"), "term")))
-    import math
-
     return ranked.filter((F.col("rank") <= top) & (F.col("score") >= -math.log10(most_false))).select("key", "term", "tf", "df", "score", "rank")

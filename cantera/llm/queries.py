@@ -95,7 +95,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.reading_level(table(spark, sf_dir, "documents"), "doc_id", "text").filter("basis = 'graded'").select("doc_id", "nivel")
+    """The grades that p9_levels clamps."""
+    return reading.grades(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "nivel")
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
