@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantera.llm.terms import ANY, CHUNK_BITS, containers
-from cantera.session import fan_out, written
+from cantera.session import fan_out, scratch, written
 
 #: Above so many numbers a bitmap of 8 KB is not larger than the list of 16-bit numbers.
 LIST_MOST = 4095
@@ -100,7 +100,11 @@ def term_frequency(df: DataFrame, key: str, text: str, rare_below: int = 3, comm
     mark: 'rare' when fewer than rare_below records hold the term, 'common' when more than the share common_above of
     the records that have any term hold it, else 'useful'; a term that is both is 'rare'. Null keys are left out, null
     and empty texts have no terms, repeated rows count once; an empty table gives no rows."""
-    per_term = totals(containers(df, key, text), fan_out(df))
+    with scratch() as keep:
+        return keep(_marked(totals(containers(df, key, text), fan_out(df)), rare_below, common_above))
+
+
+def _marked(per_term: DataFrame, rare_below: int, common_above: float) -> DataFrame:
     every = per_term.filter(F.col("term") == ANY).select(F.col("n_records").alias("with_terms"))  # one row at most
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > F.lit(common_above) * F.col("with_terms"), "common").otherwise("useful")
     return per_term.filter(F.col("term") != ANY).join(F.broadcast(every)).select("term", "n_occurrences", "n_records", mark.alias("mark"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantera.llm import clusters, distinctive, frequency, mixture, near_duplicates, oracle, reading, similar_vectors, tokens
-from cantera.session import table
+from cantera.session import scratch, table
 
 
 #: Extractor, table, column and length of the two vector tables.
@@ -87,11 +87,13 @@ DOMAINS = {
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS, total_tokens="all")[0]
+    with scratch() as keep:
+        return keep(mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS, total_tokens="all")[0])
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS, total_tokens="all")[1]
+    with scratch() as keep:
+        return keep(mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mezcla_objetivo"), DOMAINS, total_tokens="all")[1])
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
