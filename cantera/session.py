@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input that one task of a shuffle should hold.
@@ -100,6 +101,22 @@ def ship(spark: SparkSession) -> None:
     sc._cantera_shipped = True
 
 
+def sent_file(spark: SparkSession, path: str) -> None:
+    """Sends a file of the driver to all executors, once for each application; their workers find it by near_file."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_cantera_files", set())
+    if path not in sent and Path(path).exists():
+        sc.addFile(path)
+        sc._cantera_files = sent | {path}
+
+
+def near_file(path: str) -> str:
+    """Where a worker reads a file that was sent."""
+    if Path(path).exists():
+        return path
+    return SparkFiles.get(Path(path).name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table of that name below a data folder."""
     ship(spark)
