@@ -16,10 +16,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files of public tokenizers lie, see the README there; a parameter of every operator here.
+from cantera.session import near_file, sent_file
+
+#: Where the driver finds the vocabulary files of public tokenizers, see the README there; a parameter of every operator here. Executors get the file they need.
 TOKENIZERS = "/opt/tokenizers"
 #: The usual pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,7 +134,7 @@ def _path(tokenizer: str, folder: str) -> str:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(near_file(path))
         for batch in batches:
             # A few thousand characters to some megabytes a text: slices keep the flat arrays small.
             texts = batch.column(1)
@@ -152,6 +154,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
 
     Null and empty texts give an empty list; rows come as often as they are in df, a null key stays null; other columns are ignored."""
     kind = df.schema[key].dataType.simpleString()
+    sent_file(df.sparkSession, _path(tokenizer, folder))
     done = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_encode(_path(tokenizer, folder)), f"key {kind}, ids array<int>")
     return done.select(F.col("key").alias(key), "ids")
 
@@ -159,10 +162,11 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
 def token_count(text: Column, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Column:
     """Number of tokens of a text; 0 for null and empty texts."""
     path = _path(tokenizer, folder)
+    sent_file(SparkSession.active(), path)
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        bpe = load(path)
+        bpe = load(near_file(path))
         return pa.concat_arrays([pa.array(np.diff(bpe.encode(texts.slice(at, SLICE).to_pylist())[1])) for at in range(0, len(texts), SLICE)] or [pa.array([], pa.int64())])
 
     return count(text)
