@@ -105,7 +105,7 @@ def test_tight_groups_share_substrings(dim, n):
     c = rng.standard_normal((40, dim))
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     for noise in (0.05, 0.15):
-        x = c[rng.integers(40, size=8192)] + rng.standard_normal((8192, dim)) * noise / (np.sqrt(dim) if noise < 0.1 else 1)
+        x = c[rng.integers(40, size=4096)] + rng.standard_normal((4096, dim)) * noise / (np.sqrt(dim) if noise < 0.1 else 1)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         codes = similar_vectors.learn(x, n, 0.996)
         a = x[:1000]
