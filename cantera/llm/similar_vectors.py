@@ -354,8 +354,9 @@ def _hashed(base: DataFrame) -> DataFrame:
 
 
 def _few_copies(base: DataFrame, k: int) -> DataFrame:
-    """The k + 1 smallest ids of each vector, with their place."""
-    return _hashed(base).withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    """The k + 1 smallest ids of each vector, with their place and the smallest of them, the head."""
+    order = Window.partitionBy("h1", "h2").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _hashed(base).withColumns({"place": F.row_number().over(order), "head": F.first("vec_id").over(order)}).filter(F.col("place") <= k + 1)
 
 
 def _later_copies(base: DataFrame, few: DataFrame, k: int) -> DataFrame:
@@ -380,13 +381,16 @@ def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10
         heads = every.filter("place = 1")
         n = heads.count()
         codes = learn(sample(heads, SAMPLE, dim, n), n, least, k)
-        near = _cosine_pairs(_candidates(heads, codes, dim, border_margin(least)), heads, dim).filter(F.col("cosine") >= least)
-        # From heads to the copies that take part.
-        member = written(every.withColumn("head", F.min("vec_id").over(Window.partitionBy("h1", "h2"))).select("vec_id", "head"))
-        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-        of_a, of_b = member.select(F.col("vec_id").alias("vec"), F.col("head").alias("a")), member.select(F.col("vec_id").alias("other"), F.col("head").alias("b"))
-        across = both.join(of_a, "a").join(of_b, "b").select("vec", "other", "cosine")
-        within = of_a.join(of_b.withColumnRenamed("b", "a"), "a").filter("vec <> other").select("vec", "other", F.lit(1.0).alias("cosine"))
+        near = written(_cosine_pairs(_candidates(heads, codes, dim, border_margin(least)), heads, dim).filter(F.col("cosine") >= least))
+        near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+        # From heads to the copies that take part; where there are few, they go to the pairs.
+        extra = written(every.filter("place > 1").select("vec_id", "head"))
+        for side in "ab":
+            copies = near.join(extra.withColumnRenamed("head", side), side).withColumn(side, F.col("vec_id")).drop("vec_id")
+            near = near.unionByName(copies)
+        across = near.select(F.col("a").alias("vec"), F.col("b").alias("other"), "cosine")
+        same = extra.unionByName(extra.select(F.col("head").alias("vec_id"), "head").distinct())
+        within = same.withColumnRenamed("vec_id", "vec").join(same.withColumnRenamed("vec_id", "other"), "head").filter("vec <> other").select("vec", "other", F.lit(1.0).alias("cosine"))
         order = Window.partitionBy("vec").orderBy(F.desc("cosine"), "other")
         found = across.unionByName(within).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         return keep(found.unionByName(_later_copies(base, every, k)) if late else found)
