@@ -177,8 +177,10 @@ def test_clusters(spark):
         assert sorted(r["vec_id"] for r in own if r["typical_rank"]) == sorted(i for _, i in best) or len({s for s, _ in best}) < 3
 
 
-def test_small_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("few", [True, False])
+def test_small_clusters(spark, monkeypatch, few):
     """Clusters of 10 among noise that seeds don't hit: the drawn ones are few here, as they are in a large table."""
+    monkeypatch.setattr(clusters, "_few_tasks", lambda df: few)  # sums straight to the driver, or added up by tasks first
     monkeypatch.setattr(clusters, "K", 2)
     monkeypatch.setattr(clusters, "OVERSAMPLE", 2)
     monkeypatch.setattr(clusters, "REST_BLOCK", 700)
