@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 #: Entries of a group that one task holds.
 MOST = 1 << 20
-#: Groups in all while there are fewer partitions: more make packs small, fewer make groups large.
+#: Groups in all while there are few entries: more make packs small, fewer make groups large.
 GROUPS = 1024
 
 
@@ -66,8 +66,9 @@ def meet(packs: DataFrame, width: int, partitions: int, work, single, form: str,
     return packs.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(_grouped(width, work, single, most or MOST), form)
 
 
-def groups(partitions: int) -> int:
-    return max(GROUPS, 4 * partitions)
+def groups(partitions: int, entries: int) -> int:
+    """How many groups: several for each partition, and so many that one of usual size is an eighth of what a task holds."""
+    return max(GROUPS, 4 * partitions, entries // (MOST // 8))
 
 
 def form(width: int) -> str:

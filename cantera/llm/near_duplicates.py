@@ -273,10 +273,10 @@ def classes(sets: DataFrame) -> DataFrame:
     return keyed.join(least, ["h1", "h2"]).select("id", "class_id")
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """a, b, similarity with a < b: the pairs of classes whose run sets have a Jaccard similarity of at least the threshold. sets holds one row per class."""
+def similar_classes(sets: DataFrame, threshold: float, n: int) -> DataFrame:
+    """a, b, similarity with a < b: the pairs of classes whose run sets have a Jaccard similarity of at least the threshold. sets holds one row per class, n at most."""
     parts = fan_out(sets, factor=4)
-    bands = sets.repartition(parts, "id").mapInArrow(_bands(buckets.groups(parts)), buckets.form(2))
+    bands = sets.repartition(parts, "id").mapInArrow(_bands(buckets.groups(parts, n * BANDS)), buckets.form(2))
     met = written(buckets.meet(bands, 2, parts, _pairs_of, _members_of, "a bigint, b bigint, bucket bigint"))
     edges = met.filter("bucket is null").select("a", "b").distinct()
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a"))
@@ -300,7 +300,7 @@ def _found(df: DataFrame, key: str, title: str, text: str, threshold: float) ->
         sets = written(run_sets(df, key, title, text))
         member = keep(classes(sets))
         heads = sets.join(member.filter("id = class_id").select("id"), "id", "left_semi")
-        return member, keep(similar_classes(heads, threshold))
+        return member, keep(similar_classes(heads, threshold, member.count()))
 
 
 def _expanded(member: DataFrame, links: DataFrame) -> DataFrame:

@@ -314,10 +314,10 @@ def _singly(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "s1", "s2"])
 
 
-def _candidates(heads: DataFrame, codes: Codes, dim: int, margin: float) -> DataFrame:
-    """a, b: the distinct pairs of indexed vectors that meet in a bucket with close codes."""
+def _candidates(heads: DataFrame, n: int, codes: Codes, dim: int, margin: float) -> DataFrame:
+    """a, b: the distinct pairs of the n indexed vectors that meet in a bucket with close codes."""
     parts = fan_out(heads, factor=codes.substrings / 4)
-    packs = heads.select("vec_id", "vec").mapInArrow(_indexed(codes, dim, margin, buckets.groups(parts)), buckets.form(4))
+    packs = heads.select("vec_id", "vec").mapInArrow(_indexed(codes, dim, margin, buckets.groups(parts, 2 * n * codes.substrings)), buckets.form(4))
     met = written(buckets.meet(packs, 4, parts, _met(codes.radius, BLOCK), _singly, _MET))
     pairs = met.filter("s1 is null").select("a", "b")
     large = met.filter("s1 is not null").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "s1", "s2")
@@ -381,7 +381,7 @@ def neighbours_above(df: DataFrame, key: str, vector: str, dim: int, k: int = 10
         heads = every.filter("place = 1")
         n = heads.count()
         codes = learn(sample(heads, SAMPLE, dim, n), n, least, k)
-        near = written(_cosine_pairs(_candidates(heads, codes, dim, border_margin(least)), heads, dim).filter(F.col("cosine") >= least))
+        near = written(_cosine_pairs(_candidates(heads, n, codes, dim, border_margin(least)), heads, dim).filter(F.col("cosine") >= least))
         near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
         # From heads to the copies that take part; where there are few, they go to the pairs.
         extra = written(every.filter("place > 1").select("vec_id", "head"))
