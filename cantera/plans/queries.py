@@ -402,9 +402,9 @@ def rtree_delete(spark, sf_dir):
     return _result(e, "SELECT p_partkey FROM places WHERE p KNN ((20, 12), 8)")
 
 
-@query(f"WITH g AS ({_GRID}) SELECT p_partkey FROM g WHERE abs(p[1] - 15) < 1e-9 AND abs(p[2] - 12) < 1e-9")
+@query(f"WITH g AS ({_GRID}) SELECT p_partkey FROM g WHERE abs(p[1] - 6) < 1e-9 AND abs(p[2] - 9) < 1e-9")
 def point_match(spark, sf_dir):
-    return _grid(spark, sf_dir).filter(spatial.same_point("p", (15.0, 12.0))).select("p_partkey")
+    return _grid(spark, sf_dir).filter(spatial.same_point("p", (6.0, 9.0))).select("p_partkey")
 
 
 @query("SELECT p_partkey, '(' || p_size || ', ' || (p_partkey % 7) || ')' AS p FROM part")
@@ -509,6 +509,29 @@ def media_extraction(spark, sf_dir):
     return found.filter("descriptors is not null").select("name", F.size("descriptors").cast("bigint").alias("n_descriptors"))
 
 
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS name, 1 + (3000 + 700 * n_nationkey) // 512 AS frames, 25 AS width FROM nation")
+def audio_frames(spark, sf_dir):
+    """Cepstral coefficients of a tone for each nation, the longer the greater its key: a frame for each 512 samples that begin."""
+    import io
+    import wave
+
+    import numpy as np
+
+    folder = f"{shared_dir(spark)}/tones-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in table(spark, sf_dir, "nation").collect():  # 25 rows at every scale
+        n, held = r["n_nationkey"], io.BytesIO()
+        with wave.open(held, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(22_050)
+            w.writeframes((10_000 * np.sin(np.arange(3000 + 700 * n) * (100 + 10 * n) / 3500)).astype("<i2").tobytes())
+        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}.wav")
+        stream = p.getFileSystem(conf).create(p, True)
+        stream.write(bytearray(held.getvalue()))
+        stream.close()
+    found = media.extract(media.media_files(spark, folder, "AUDIO"), "AUDIO")
+    return found.select("name", F.size("descriptors").cast("bigint").alias("frames"), F.size(F.get("descriptors", F.lit(0))).alias("width"))
+
+
 @query("SELECT * FROM (VALUES ('10.wav', 'MediaProblem'), ('99.jpg', 'MediaProblem'), ('10.jpg', 'read')) AS t(file, outcome)")
 def media_formats(spark, sf_dir):
     folder, outcome = _files(spark, sf_dir), []

@@ -1,7 +1,7 @@
 """Media files as a table, descriptors of their content, and the index of codewords that is kept beside a table.
 
 Descriptors come from extractors: functions from a file's bytes to a list of lists of numbers. Those for SIFT and MFCC need OpenCV and
-librosa; others can be given. A collection is a folder of media files, or of Parquet files with the columns path and descriptors.
+librosa, except for MFCC of WAV files; others can be given. A collection is a folder of media files, or of Parquet files with the columns path and descriptors.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantera.functions.mfcc import mfcc_of_wav
 from cantera.operators import codewords
 from cantera.session import scratch, written
 
@@ -73,6 +74,9 @@ def sift(content: bytes) -> list | None:
 
 
 def mfcc(content: bytes) -> list | None:
+    """Frames of COEFFICIENTS numbers. WAV needs no library, other formats need librosa."""
+    if content[:4] == b"RIFF":
+        return mfcc_of_wav(content, COEFFICIENTS).tolist() or None
     import io
 
     import librosa
@@ -81,7 +85,8 @@ def mfcc(content: bytes) -> list | None:
     return librosa.feature.mfcc(y=signal, sr=rate, n_mfcc=COEFFICIENTS).T.tolist()
 
 
-LIBRARIES = {"IMAGE": ("cv2", sift), "AUDIO": ("librosa", mfcc)}
+#: The library without which nothing of a kind can be read, and the extractor.
+LIBRARIES = {"IMAGE": ("cv2", sift), "AUDIO": (None, mfcc)}
 
 
 def extractor_for(kind: str, given: dict[str, Extractor] | None = None) -> Extractor:
@@ -89,7 +94,8 @@ def extractor_for(kind: str, given: dict[str, Extractor] | None = None) -> Extra
         return given[kind]
     library, work = LIBRARIES[kind]
     try:
-        __import__(library)
+        if library:
+            __import__(library)
     except ImportError as e:
         raise RuntimeError(f"{library} isn't installed; give an extractor, or descriptors as a column") from e
     return work

@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cantera.engine import Engine
+from cantera.functions import mfcc
 from cantera.functions.render import similarity_percent
 from cantera.functions.stemmer import STOP_STEMS, stem
 from cantera.operators import codewords, spatial, text
@@ -61,6 +63,62 @@ def test_nearest_ties_and_nulls(spark):
     assert [r["id"] for r in df.filter(spatial.same_point("p", (0, 1))).collect()] == [1]
 
 
+def wav(x, rate=22_050, width=2, channels=1):
+    import io
+    import wave
+
+    held = io.BytesIO()
+    with wave.open(held, "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        scaled = np.round(np.repeat(x, channels) * (2 ** (8 * width - 1) - 1)).astype(np.int64)
+        w.writeframes((scaled + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(v).to_bytes(width, "little", signed=True) for v in scaled))
+    return held.getvalue()
+
+
+def test_cepstral_coefficients():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(-0.5, 0.5, 3000)
+    # By definition, a frame and a band at a time.
+    frame, hop, filters = mfcc.FRAME, mfcc.HOP, mfcc.bands()
+    padded = np.r_[np.zeros(frame // 2), x, np.zeros(frame // 2)]
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * i / frame) for i in range(frame)]
+    db = []
+    for at in range(0, len(x) + 1, hop):
+        power = abs(np.fft.fft(padded[at : at + frame] * hann)[: frame // 2 + 1]) ** 2
+        db.append([10 * math.log10(max(1e-10, float((f * power).sum()))) for f in filters])
+    top = max(map(max, db))
+    want = [[(math.sqrt((1 if k == 0 else 2) / 128)) * sum(max(v, top - 80) * math.cos(math.pi * k * (n + 0.5) / 128) for n, v in enumerate(row)) for k in range(25)] for row in db]
+    got = mfcc.coefficients(x, 25)
+    assert got.shape == (1 + 3000 // 512, 25) and np.allclose(got, want)
+    # The triangles: one peak each, in ascending order, areas of one.
+    peaks = filters.argmax(1)
+    assert (np.diff(peaks) >= 0).all() and np.allclose(filters[40:].sum(1) * mfcc.RATE / frame, 1, atol=0.1)
+    assert np.allclose(mfcc.to_hz(mfcc.to_mel(np.array([0.0, 500, 1000, 6400, 11025]))), [0, 500, 1000, 6400, 11025]) and mfcc.to_mel(np.array(6400.0)) == pytest.approx(42)
+    for width, error in ((1, 0.02), (2, 1e-4), (3, 1e-6), (4, 1e-8)):
+        read, rate = mfcc.read_wav(wav(x, 8000, width, 2))
+        assert rate == 8000 and np.abs(read - x).max() < error
+    tone = np.sin(np.arange(4000) * 0.2)
+    assert np.abs(mfcc.at_rate(tone, 11_025)[200:-200] - np.sin(np.arange(8000) * 0.1)[200:-200]).max() < 0.05
+    assert mfcc.mfcc_of_wav(wav(np.zeros(0)), 25).shape == (1, 25)
+
+
+def test_audio_through_the_dialect(spark, tmp_path):
+    """Tones in WAV files, by the built-in extractor: the most similar file to a tone is the one of the same pitch."""
+    folder = tmp_path / "tones"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i}.wav").write_bytes(wav(np.sin(np.arange(9000) * (0.05 + 0.2 * (i % 3))) * (0.5 + 0.0001 * i)))
+    (folder / "9.wav").write_bytes(b"no audio")
+    csv = tmp_path / "f.csv"
+    csv.write_text("id,tone\n" + "".join(f"{i},{folder}/{i}.wav\n" for i in range(6)))
+    e = Engine(spark, str(tmp_path / "db"))
+    (r,) = e.sql(f"CREATE TABLE t FROM FILE '{csv}' USING PRIMARY INDEX BTREE(id), INDEX KNN_INV(tone, type = 'AUDIO', collection = '{folder}', k = 6, id_from_filename = 1)")
+    assert r.error is None, r.error
+    for i in range(3):
+        got = e.sql(f"SELECT id FROM t WHERE tone <-> '{folder}/{i}.wav' LIMIT 2")[0]
+        assert got.error is None and sorted(x["id"] for x in got.rows()) == [i, i + 3]
+
+
 def test_stream(spark, tmp_path):
     from cantera.streaming.ingest import append_stream
 
