@@ -1,5 +1,7 @@
 """Similar vectors and clusters against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +209,31 @@ def test_small_clusters(spark, monkeypatch, few):
     assert len(want) >= 10 and {frozenset(v) for v in found.values()} == want
 
 
+def test_starts_are_not_copied(spark, monkeypatch):
+    """30 blocks of starts meet 30 blocks of vectors left: no pass puts more on disk than twice the vectors, and none leaves its files there."""
+    monkeypatch.setattr(clusters, "REST_BLOCK", 100)
+    monkeypatch.setattr(clusters, "START_BLOCK", 100)
+    monkeypatch.setattr(clusters, "FEW", 20)
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    def files():
+        held = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(i).getName() for i in range(held.size()) if held.apply(i).getName().startswith("shuffle")} | set(os.listdir(sc._temp_dir))
+
+    x = np.float32(np.random.default_rng(8).standard_normal((3000, 20)))
+    rows = table(spark, [(i + 1, r) for i, r in enumerate(x)])
+    last, held = max(stages(), default=-1), files()
+    found = clusters.similarity_clusters(rows, "vec_id", "v", 20)
+    assert 0 < max(size for stage, size in stages().items() if stage > last) < 2 * x.nbytes
+    assert files() <= held
+    assert found.count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_many_clusters(spark):
     """600 clusters of 10, far more than centroids, in more dimensions than features: all that keep both bounds come out."""
     rng = np.random.default_rng(11)
